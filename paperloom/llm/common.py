@@ -28,11 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+HEADERS = re.compile(r"(?:#+ REGION \d+(?:\s+|$)|#+ Extracted by \S+ \(Ollama\)(?:\s+|$))+", re.I)
+
+
 def content_lines(text: str | None) -> list[str]:
-    """Lines of a text without the workbench's own ``#`` lines."""
+    """Lines of a text without the workbench's own ``#`` lines.
+
+    Where line ends were flattened, page text may follow a header on its line; that
+    text stays.
+    """
     if not text:
         return []
-    return [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if not x.startswith("#")]
+    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    if "#" not in text:
+        return lines
+    out = []
+    for x in lines:
+        if not x.startswith("#"):
+            out.append(x)
+        elif (m := HEADERS.match(x)) and m.end() < len(x):
+            out.append(x[m.end() :])
+    return out
 
 
 def content(text: str | None) -> str:

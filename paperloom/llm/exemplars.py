@@ -194,3 +194,76 @@ Please try another document.
 """
 
 RESIDUE = _lines("placeholder", _PLACEHOLDER) + _lines("filler", _FILLER) + _lines("error_page", _ERROR) + _lines("script_notice", _SCRIPT) + _lines("none", _NONE)
+
+_REFUSALS = """
+I'm sorry, but I can't translate this text.
+I apologize, but I am not able to assist with this document.
+As a language model, I cannot fulfil that request as it goes against my guidelines.
+Unfortunately, I won't be able to provide a translation of this content because it may contain private data.
+Sorry, translating this page is something I have to decline.
+I cannot help with this request.
+As an AI, I am unable to translate this content.
+I must decline to translate this document.
+I can't assist with that.
+I am not comfortable translating this text.
+Is there anything else I can do for you?
+Please try another document.
+Es tut mir leid, aber ich kann diesen Text nicht übersetzen.
+Als Sprachmodell darf ich bei diesem Dokument nicht helfen.
+Leider muss ich diese Anfrage ablehnen.
+Bedauerlicherweise kann ich diesen Text nicht übersetzen, weil er persönliche Angaben enthalten könnte.
+Ich kann bei dieser Anfrage nicht helfen, da sie gegen meine Richtlinien verstößt.
+Bitte versuchen Sie es mit einem anderen Dokument.
+Kann ich sonst noch etwas für Sie tun?
+Je suis désolé, mais je ne peux pas traduire ce texte.
+En tant que modèle de langage, je ne suis pas en mesure d'aider avec ce document.
+Malheureusement, je dois décliner cette demande.
+Je ne peux pas traduire ce contenu car il pourrait contenir des données privées.
+Veuillez essayer un autre document.
+Puis-je faire autre chose pour vous?
+Lo siento, pero no puedo traducir este texto.
+Como modelo de lenguaje, no me es posible ayudar con este documento.
+Lamentablemente, debo rechazar esta solicitud porque podría contener datos privados.
+No puedo ayudar con esta petición porque va contra mis normas.
+Por favor, pruebe con otro documento.
+¿Puedo ayudarle en algo más?
+Desculpe, mas não consigo ajudar com este documento.
+Como modelo de linguagem, tenho de recusar este pedido.
+Infelizmente, não posso traduzir este texto porque pode conter dados privados.
+Lamento, mas não consigo traduzir este conteúdo.
+Tente outro documento, por favor.
+Posso ajudar em mais alguma coisa?
+"""
+
+_ANSWERS = """
+I am unable to help Molosky in this matter before the spring.
+We are sorry, but we cannot send the requested copy to Haskval.
+The request was refused because the file is closed until 1990.
+The office does not provide such information to private persons.
+Please accept our apologies for the late answer.
+Ich kann Molosky in dieser Sache vor dem Frühjahr nicht helfen.
+Es tut uns leid, aber wir können die gewünschte Abschrift nicht nach Haskval senden.
+Das Amt erteilt Privatpersonen keine solchen Auskünfte.
+Bitte entschuldigen Sie die späte Antwort.
+Der Antrag wurde abgelehnt, weil die Akte bis 1990 gesperrt ist.
+Nous sommes désolés, mais nous ne pouvons pas envoyer la copie demandée à Haskval.
+La demande a été refusée parce que le dossier est fermé jusqu'en 1990.
+Le bureau ne donne pas de tels renseignements aux particuliers.
+Veuillez accepter nos excuses pour cette réponse tardive.
+Je ne peux pas aider Molosky dans cette affaire avant le printemps.
+No puedo ayudar a Molosky en este asunto antes de la primavera.
+Lo sentimos, pero no podemos enviar la copia solicitada a Haskval.
+La solicitud fue denegada porque el expediente está cerrado hasta 1990.
+La oficina no da esa información a particulares.
+Le rogamos que acepte nuestras disculpas por la respuesta tardía.
+Não posso ajudar Molosky neste assunto antes da primavera.
+Lamentamos, mas não podemos enviar a cópia solicitada para Haskval.
+O pedido foi recusado porque o processo está fechado até 1990.
+A repartição não presta tais informações a particulares.
+Pedimos desculpa pela resposta tardia.
+The council rejected the petition because the clerk could not read it.
+Der Rat lehnte die Bittschrift ab.
+"""
+
+REFUSALS = [t for _, t in _lines("", _REFUSALS)]
+ANSWERS = [t for _, t in _lines("", _ANSWERS)]
