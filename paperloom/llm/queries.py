@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-MODULES = ("p1_scan_noise", "p2_language", "p3_truncation", "p4_pairs", "p5_repetition", "p6_residue", "p7_alignment", "p8_encoding", "p9_packing", "p10_abuse")
+MODULES = ("p2_language", "p3_truncation", "p4_pairs", "p5_repetition", "p6_residue", "p7_alignment", "p8_encoding", "p9_packing", "p10_abuse")
 
 
 def queries() -> dict[str, Callable]:
