@@ -237,11 +237,12 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = labels.distinct().join(spelled, "label", "left").select("job_id", "file_index", "fld", "code")
     x = labels.join(p, ["job_id", "file_index", "fld"]).withColumn("main", F.expr("langs[0].lang"))
     key = ["job_id", "file_index", "fld"]
-    missing = x.where("code is null").select(*key, F.lit("missing").alias("issue"), F.col("main").alias("lang"))
-    wrong = x.where("code is not null and code <> main").select(*key, F.lit("wrong").alias("issue"), F.col("main").alias("lang"))
-    many = F.expr("filter(langs, (x, i) -> x.n_sentences >= 2)")
-    mixed = x.withColumn("many", many).where("size(many) >= 2").select(*key, F.lit("mixed").alias("issue"), F.explode("many.lang").alias("lang"))
-    return missing.unionByName(wrong).unionByName(mixed).distinct()
+    #: All issues of a text in one array, so that the texts are scored once.
+    row = lambda issue, lang: F.struct(F.lit(issue).alias("issue"), lang.alias("lang"))
+    label = F.array(F.when(F.col("code").isNull(), row("missing", F.col("main"))).when(F.col("code") != F.col("main"), row("wrong", F.col("main"))))
+    many = F.filter("langs", lambda y: y["n_sentences"] >= 2)
+    mixed = F.when(F.size(many) >= 2, F.transform(many, lambda y: row("mixed", y["lang"]))).otherwise(F.array().cast("array<struct<issue:string,lang:string>>"))
+    return x.select(*key, F.explode(F.array_compact(F.concat(label, mixed))).alias("i")).select(*key, "i.issue", "i.lang").distinct()
 
 
 def text_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
