@@ -30,10 +30,12 @@ from pyspark.sql import types as T
 from . import common as C
 from . import langdata
 
-CLUSTERS = 3
+CLUSTERS = 8
 MIN_COSINE = 0.05
 #: Of the best cosine, by which the best language must lead.
 MIN_MARGIN = 0.12
+#: Of the best cosine, a lead below this is doubtful.
+DOUBT = 0.25
 #: Rare n-grams weigh at most this, those not seen in fitting 0.6 of it.
 TOP_IDF = 4.0
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -146,8 +148,8 @@ class Centroids:
         norm = np.sqrt(np.bincount(r, w * w, n)) + 1e-9
         return out / norm[:, None].astype(np.float32)
 
-    def classify(self, passages: list[str], margin: float = MIN_MARGIN) -> tuple[np.ndarray, np.ndarray]:
-        """(language number or -1, confidence) of each passage."""
+    def classify(self, passages: list[str], margin: float = MIN_MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language number or -1, confidence, next best language number) of each passage."""
         cos = self._cosines(len(passages), *self.encoder.rows(passages))
         per = np.full((len(passages), len(langdata.LANGS) + 1), -1.0, np.float32)
         for j, k in enumerate(self.codes_at):
@@ -155,9 +157,10 @@ class Centroids:
         top = per.argmax(1)
         best = per.max(1)
         per[np.arange(len(per)), top] = -1
+        second = per.argmax(1)
         lead = best - np.maximum(per.max(1), 0)
         at = np.where((best >= MIN_COSINE) & (lead >= margin * best) & (top < len(langdata.LANGS)), top, -1)
-        return at, np.clip(lead / np.maximum(best, 1e-6), 0, 1)
+        return at, np.clip(lead / np.maximum(best, 1e-6), 0, 1), second
 
 
 def whole_sentences(text: str | None) -> list[str]:
@@ -187,10 +190,17 @@ def profile(model: Centroids, texts: list[str]) -> list[list[tuple[str, int, int
                 flat.append(s)
                 owner.append(i)
                 size.append(n)
-    at, conf = model.classify(flat)
+    at, conf, second = (v.tolist() for v in model.classify(flat))
+    #: A doubtful passage whose next best is the text's clear main language is in that.
+    clear: list[dict] = [{} for _ in texts]
+    for i, n, k, q in zip(owner, size, at, conf):
+        if k >= 0 and q >= DOUBT:
+            clear[i][k] = clear[i].get(k, 0) + n
+    main = [max(c, key=c.get) if c else -1 for c in clear]
     per: list[dict] = [{} for _ in texts]
-    for i, s, n, k, q in zip(owner, flat, size, at.tolist(), conf.tolist()):
+    for i, s, n, k, q, o in zip(owner, flat, size, at, conf, second):
         if k >= 0:
+            k = main[i] if q < DOUBT and o == main[i] else k
             x = per[i].setdefault(k, [0, 0, 0.0])
             x[0] += n >= 18 and s[-1] in ".!?。！？\"»”)…"
             x[1] += n
@@ -198,7 +208,7 @@ def profile(model: Centroids, texts: list[str]) -> list[list[tuple[str, int, int
     #: A text without any accepted passage is compared whole, without the margin.
     bare = [i for i, p in enumerate(per) if not p and weight(C.content(texts[i])) >= 12]
     if bare:
-        at, conf = model.classify([C.content(texts[i]) for i in bare], margin=0.0)
+        at, conf, _ = model.classify([C.content(texts[i]) for i in bare], margin=0.0)
         for i, k, q in zip(bare, at.tolist(), conf.tolist()):
             if k >= 0:
                 per[i][k] = [0, (n := weight(C.content(texts[i]))), n * q]
