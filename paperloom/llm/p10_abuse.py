@@ -39,6 +39,7 @@ DIM = 4096
 #: Word similarities below this are nothing.
 LEAST = 0.45
 PASSAGE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+|(?<=[。！？])|\\n")
+WHOLE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n[ \t]*\n+|(?<=[。！？])")
 TOKEN = re.compile(r"[^\W\d_]+(?:[*]+[^\W\d_]*)*|[*]+[^\W\d_]+")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_] ){3,}[^\W_](?![^\W_])")
 INNER = re.compile(r"(?<=[^\W\d_])[0-9@$!|#+](?=[^\W\d_0-9@$*])|(?<![\w])[0-9@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0-9@$](?![\w])|(?<=[^\W\d_])[0-9@$*]{2,3}(?=[^\W\d_])")
@@ -244,7 +245,12 @@ class Machine:
         best = [-1.0] * len(CATEGORIES)
         if not text or not text.strip():
             return best
-        for s in PASSAGE.split(plain(text)):
+        body = plain(text)
+        parts = PASSAGE.split(body)
+        if "\n" in body:
+            #: Sentences that go over hard line ends are read whole as well.
+            parts += [" ".join(s.split()) for s in WHOLE.split(body) if "\n" in s and len(s) < 1000]
+        for s in parts:
             if s and len(s) > 7:
                 for j, v in enumerate(self.sentence(s)):
                     if v > best[j]:
@@ -259,13 +265,20 @@ def clean_sentences(texts: list[str], machine: Machine | None = None, above: flo
     return [s for s in out if machine is None or max(machine.sentence(plain(s))) <= above]
 
 
+_TRAINED: dict[int, Machine] = {}
+
+
 def train(texts: list[str]) -> Machine:
     """Three fits: each leaves out of the clean sentences what the one before holds for a case."""
-    rows = labelled()
-    m = Machine(rows, [])
-    for above in (0.6, 0.1):
-        m = Machine(rows, clean_sentences(texts, m, above))
-    return m
+    key = hash(tuple(texts))
+    if key not in _TRAINED:
+        rows = labelled()
+        m = Machine(rows, [])
+        for above in (0.6, 0.1):
+            m = Machine(rows, clean_sentences(texts, m, above))
+        _TRAINED.clear()  # the last machine is kept for a second query over the same table
+        _TRAINED[key] = m
+    return _TRAINED[key]
 
 
 def scored(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
