@@ -22,6 +22,7 @@ from .operators import jobs as J
 from .operators import models as M
 from .operators import regions as R
 from .plans import extract as X
+from .session import ship
 from .sinks import documents as D
 from .sources import jobzip
 
@@ -34,6 +35,7 @@ class Workbench:
 
     def __init__(self, spark: SparkSession, folder: str, client: N.ModelClient, page_size: tuple[int, int] = (2480, 3508)):
         self.spark, self.folder, self.client, self.page_size = spark, folder.rstrip("/"), client, page_size
+        ship(spark)
         jobzip.register(spark)
 
     # -- state

@@ -22,6 +22,7 @@ from .operators import models as M
 from .operators import pages as P
 from .operators import regions as R
 from .plans import extract as X
+from .session import shipped
 from .sinks import documents as D
 from .sources.tables import table
 from .streaming import ingest as T
@@ -436,7 +437,7 @@ def stream_log_days(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q)
+    return {k: shipped(f) for k, f in Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
