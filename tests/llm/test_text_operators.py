@@ -181,7 +181,7 @@ def test_label_spellings():
     "text, want",
     [
         (None, "complete"), ("", "complete"), ("   ", "complete"), ("It ended well.", "complete"), ("It ended well", "open"), ("The clerk wrote to the council and then he lost the old", "cut"), ("It ended well. Then the clerk found the boo…", "cut"),
-        ('{"a": "b", "c": ["d', "cut"), ('{"a": "b"}', "complete"), ("Text.\n\nYours faithfully,\nHalmann", "complete"), ("Text.\n\nThe old", "cut"), ("Text.\nMore text of the page that is long.\nRegister of Haskval", "complete"), ("It ended well.\nREGISTER OF HASKVAL\n— 12 —", "complete"), ("It ended well.\n\nHaskval, 12.03.1817", "complete"),
+        ('{"a": "b", "c": ["d', "cut"), ('{"a": "b"}', "complete"), ("Text.\n\nYours faithfully,\nHalmann", "complete"), ("Text.\n\nThe old", "cut"), ("A long line of the page that goes on and on\nand then it ends.\nRegister of Haskval", "complete"), ("It ended well.\nREGISTER OF HASKVAL\n— 12 —", "complete"), ("It ended well.\n\nHaskval, 12.03.1817", "complete"),
         ("1\ta\tb\n2\tc\td\n3\te", "cut"), ("1\ta\tb\n2\tc\td", "open"), ("A word in the b�", "cut"), ("It ended (as the note", "open"), ("Text.\n\n### REGION 2\n## Extracted by mo", "cut"), ("Text.\n\n```\ncode", "cut"), ("<p>It ended</p", "cut"), ("x" * 40000, "cut"),
     ],
 )
