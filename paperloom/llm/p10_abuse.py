@@ -123,10 +123,10 @@ class Words:
 class Machine:
     """The trained machine; ``scores`` gives a decision value per category."""
 
-    def __init__(self, rows: list[tuple[str, str]], clean: list[str], seed: int = 10):
+    def __init__(self, rows: list[tuple[str, str]], clean: list[str], words: Words | None = None):
         marks = list(dict.fromkeys(t for _, t in labelled(LANDMARKS)))
         units = [tokens(t) for t in marks]
-        self.words = Words(sorted({w for u in units for w in u}))
+        self.words = words or Words(sorted({w for u in units for w in u}))
         at = {w: i for i, w in enumerate(self.words.vocab)}
         m, v = len(marks), len(self.words.vocab)
         self.single = np.zeros((v, m), np.float32)
@@ -180,19 +180,20 @@ class Machine:
         return out / max(1.0, (2.0 * len(ws)) ** 0.5)
 
     @staticmethod
-    def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 40.0, steps: int = 600) -> tuple[np.ndarray, float]:
+    def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 40.0, steps: int = 300) -> tuple[np.ndarray, float]:
         """Squared-hinge linear SVM by accelerated gradient descent."""
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-        c = c * weight / len(y) * 50
-        lip = 1 + 2 * np.linalg.norm(x * np.sqrt(c)[:, None], 2) ** 2
-        w = z = np.zeros(x.shape[1])
+        x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+        c = (c * weight / len(y) * 50).astype(np.float32)
+        y = y.astype(np.float32)
+        lip = 1 + 2.05 * float(np.linalg.eigvalsh((x.T * c) @ x)[-1])
+        w = z = np.zeros(x.shape[1], np.float32)
         for t in range(steps):
             slack = np.maximum(0, 1 - y * (x @ z))
-            g = np.append(z[:-1], 0.0) - 2 * x.T @ (c * y * slack)
-            new = z - g / lip
-            z = new + t / (t + 3) * (new - w)
+            g = np.append(z[:-1], np.float32(0)) - 2 * x.T @ (c * y * slack)
+            new = (z - g / lip).astype(np.float32)
+            z = new + np.float32(t / (t + 3)) * (new - w)
             w = new
-        return w[:-1].astype(np.float32), float(w[-1])
+        return w[:-1], float(w[-1])
 
     def _word(self, w: str) -> tuple | None:
         r = self.words.near(w)
@@ -275,7 +276,7 @@ def train(texts: list[str]) -> Machine:
         rows = labelled()
         m = Machine(rows, [])
         for above in (0.6, 0.1):
-            m = Machine(rows, clean_sentences(texts, m, above))
+            m = Machine(rows, clean_sentences(texts, m, above), m.words)
         _TRAINED.clear()  # the last machine is kept for a second query over the same table
         _TRAINED[key] = m
     return _TRAINED[key]
