@@ -141,6 +141,22 @@ def test_scan_noise_is_found_and_repaired(spark):
     assert all(f"The council and the letter and the {w} and the winter had a photograph." in clean[0] for w in ("bridge", "gardener", "account"))
 
 
+def test_ways_beyond_the_broadcast_bounds_agree(spark, folder, monkeypatch):
+    q = Q.queries()
+    noise = [("j", i, "f", {"1": "x"}, "The council signed the register near the bridge in the winter.", "", False) for i in range(60)]
+    noise.append(("j", 99, "f", {"1": "The c0uncil and the reg1ster and the br1dge."}, "The c0uncil and the reg1ster and the br1dge.\nthe win-\nter", "", False))
+    r = spark.createDataFrame(noise, schema.RESULTS)
+    want = {tuple(x) for x in p1.found_in(r).collect()}
+    seven = {tuple(x) for x in q["p7_found"](spark, folder).collect()}
+    monkeypatch.setattr(p1, "BROADCAST_WORDS", -1)
+    monkeypatch.setattr(p7, "BROADCAST_ROWS", -1)
+    assert {tuple(x) for x in p1.found_in(r).collect()} == want and ("j", 99, "regions", "misread") in want and ("j", 99, "extracted_text", "hyphenation") in want
+    assert {tuple(x) for x in q["p7_found"](spark, folder).collect()} == seven
+    r.write.mode("overwrite").parquet(os.path.join(folder, "noise", "results.parquet"))
+    clean = {(x.file_index, x.fld): x.clean_text for x in q["p1_repaired"](spark, os.path.join(folder, "noise")).collect()}
+    assert clean[99, "extracted_text"] == "The council and the register and the bridge. the winter"
+
+
 def test_spelled_hyphens_stay(spark):
     vocab = p1.Counter({w: 50 for w in ("known", "well-known", "ein", "und", "register", "council", "winter", "garden")})
     m = p1.PageModels(["The council signed the register in the winter of the year. " * 3], vocab)
