@@ -3,7 +3,7 @@
 Method: a logistic regression over hashed word and character n-gram features,
 Platt-calibrated and scored in Arrow batches against a fixed threshold, retrieves
 documents that may repeat themselves; an exact count of the repeated characters
-follows for those and decides.
+follows for those and decides. ``p5_share`` counts every text, whatever its probability.
 
 Features of a text are the hashed n-grams of its normalised words: each n-gram
 (1 and 3 words; 12 characters) falls into one of ``DIM`` buckets of its kind,
@@ -163,8 +163,8 @@ def fit(texts: list[str], seed: int = 5) -> tuple[np.ndarray, float]:
     return (w * a * 10).astype(np.float64), float(a * b + c)
 
 
-def shares(results: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(job_id, file_index, p, share): candidates' calibrated probability and exact share."""
+def shares(results: DataFrame, sample_rows: int = SAMPLE_ROWS, least_p: float = 0.0) -> DataFrame:
+    """(job_id, file_index, p, share): calibrated probability and exact share of each text of ``least_p`` or more."""
     w, b = fit(C.sample_texts(results, "extracted_text", sample_rows))
     model = results.sparkSession.sparkContext.broadcast((w, b))
 
@@ -176,7 +176,7 @@ def shares(results: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
             at, val = features(t)
             p[i] = b + sum(w[j] * v for j, v in zip(at, val))
         pdf = pdf.assign(p=sigmoid(p))
-        pdf = pdf[pdf["p"] >= CANDIDATE_P]
+        pdf = pdf[pdf["p"] >= least_p]
         return pdf.assign(share=[repeated_share(t) for t in pdf["text"]])[["job_id", "file_index", "p", "share"]]
 
     return C.map_texts(C.fields(results, ("extracted_text",)), "job_id string, file_index int, p double, share double", score)
@@ -184,15 +184,21 @@ def shares(results: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = C.table(spark, sf_dir, "results")
-    return shares(r).where(F.col("share") >= SHARE).select("job_id", "file_index").distinct()
+    return shares(r, least_p=CANDIDATE_P).where(F.col("share") >= SHARE).select("job_id", "file_index").distinct()
 
 
 def share_by_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every result's share of repeated content; 0 where the model sees none."""
+    """(job_id, file_index, share, p): every result's exact share of repeated content.
+
+    ``p`` is the model's probability of a case; a result without text has a share of 0
+    and no probability.
+    """
     r = C.table(spark, sf_dir, "results")
     keys = r.select("job_id", F.col("file_index").cast("int").alias("file_index")).distinct()
-    s = shares(r).groupBy("job_id", "file_index").agg(F.max("share").alias("share"))
-    return keys.join(s, ["job_id", "file_index"], "left").select("job_id", "file_index", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))
+    s = shares(r).groupBy("job_id", "file_index").agg(F.max(F.struct("share", "p")).alias("b"))
+    s = s.select(F.col("job_id").alias("j"), F.col("file_index").alias("f"), "b.share", "b.p")
+    own = F.col("job_id").eqNullSafe(F.col("j")) & F.col("file_index").eqNullSafe(F.col("f"))
+    return keys.join(s, own, "left").select("job_id", "file_index", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"), F.round("p", 6).alias("p"))
 
 
 QUERIES = {"p5_found": found, "p5_share": share_by_result}

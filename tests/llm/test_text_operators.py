@@ -272,6 +272,19 @@ def test_repetition_model_misses_nothing_of_its_kind():
             assert p5.sigmoid(np.array(b + sum(w[i] * v for i, v in zip(at, val)))) >= p5.CANDIDATE_P
 
 
+def test_moderate_shares_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(p5, "fit", lambda texts: (np.zeros(p5.WIDTH), -9.0))  # a model that takes no text for a case
+    rnd, rows = random.Random(6), []
+    for n in range(60):
+        own = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(8)) + "." for _ in range(12)]
+        rows.append(("j", n, "f", {}, " ".join(own + own[: n % 4]), "", False))
+    rows += [("j", 90, "f", {}, None, "", False), (None, None, "f", {}, "One two three four five six. One two three four five six.", "", False), rows[1]]
+    spark.createDataFrame(rows, schema.RESULTS).write.parquet(str(tmp_path / "results.parquet"))
+    got = {(x.job_id, x.file_index): x.share for x in Q.queries()["p5_share"](spark, str(tmp_path)).collect()}
+    assert got == {(r[0], r[1]): pytest.approx(brute_share(r[4] or ""), abs=1e-6) for r in rows}
+    assert 0.05 < got["j", 1] < p5.SHARE
+
+
 # ---------------------------------------------------------------- 6
 
 
