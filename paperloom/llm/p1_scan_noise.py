@@ -2,7 +2,10 @@
 
 Method: every word of the corpus is counted; rare words retrieve correction candidates
 among frequent words through an inverted join on positional character q-grams; gradient
-boosted trees rank the candidates and choose replacements. Boosted classifiers of line
+boosted trees rank the candidates and choose replacements. A word of letters alone that
+is not far rarer than its replacement may be a word of its own; the share of its texts
+that hold a sure misreading or two unsure ones besides decides. These are ratios, so a table's size doesn't
+matter. Boosted classifiers of line
 pairs decide on joins (a line's last piece and the next line's first) and on furniture
 (a line and its neighbours: running title, page number or text). ``repaired`` returns
 each text as continuous paragraphs; ``found`` reports the defects.
@@ -37,10 +40,12 @@ from .linear import Boosted
 from .p3_truncation import NUMERAL, PAGE_NO, is_title
 
 SAMPLE_ROWS = 1200
-#: A correction must be this many times as frequent as the word; a word of letters alone
-#: that stands in the corpus more than twice must be rarer by ``LETTERS_RATIO``.
+#: A correction must be this many times as frequent as the word, however often that stands.
 RATIO = 12
-LETTERS_RATIO = 100
+#: A misreading is sure if it has signs among its letters or is rarer by ``SURE_RATIO``; else
+#: ``COMPANY`` of the texts it stands in must hold a sure one or two unsure ones besides.
+SURE_RATIO = 100
+COMPANY = 0.5
 #: Corrections that are broadcast at most; beyond, they are joined by word.
 BROADCAST_WORDS = 1_000_000
 #: Words of the lexicon that the join classifier sees, the most frequent ones.
@@ -133,7 +138,7 @@ def candidates(counts: DataFrame) -> DataFrame:
     size = F.length("word")
     q = F.when(size <= 5, 2).otherwise(3)
     grams = lambda qq: F.transform(F.sequence(F.lit(1), F.length("word") + 3 - qq), lambda i: F.struct(i.cast("int").alias("pos"), F.substring(F.concat(F.lit("^"), F.col("word"), F.lit("$")), i, qq).alias("gram")))
-    need = F.col("n") * F.when((F.col("n") > 2) & F.col("word").rlike(r"^[\p{L}'’-]+$"), LETTERS_RATIO).otherwise(RATIO)
+    need = F.col("n") * RATIO
     ask = counts.select("word", "n", need.alias("need"), size.alias("len"), q.alias("q"), F.explode(F.when(size <= 5, grams(F.lit(2))).otherwise(grams(F.lit(3)))).alias("g"))
     ask = ask.select("word", "n", "need", "len", "q", "g.gram", F.explode(F.array(F.col("g.pos") - 1, F.col("g.pos"), F.col("g.pos") + 1)).alias("pos"))
     plain = counts.where((F.col("n") >= RATIO) & F.col("word").rlike(r"^[\p{L}][\p{L}'’-]*[\p{L}]$"))
@@ -249,7 +254,7 @@ def fit_replacements(vocab: Counter, seed: int = 1) -> Boosted:
 
 
 def corrections(counts: DataFrame, model: Boosted) -> DataFrame:
-    """(word, fix, p): the chosen replacement of each misread word."""
+    """(word, fix, p, sure): the chosen replacement of each word that looks misread."""
     shipped = counts.sparkSession.sparkContext.broadcast(model)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,11 +263,43 @@ def corrections(counts: DataFrame, model: Boosted) -> DataFrame:
         ok = (x[:, 1] <= 1 + x[:, 5] // 5) & (x[:, 3] <= x[:, 5] // 9)
         pdf, x = pdf[ok], x[ok]
         pdf = pdf.assign(p=shipped.value.score(x))
-        return pdf[pdf["p"] >= REPLACE_P][["word", "cand", "m", "p"]]
+        return pdf[pdf["p"] >= REPLACE_P][["word", "n", "cand", "m", "p"]]
 
-    scored = C.map_texts(candidates(counts), "word string, cand string, m long, p double", run)
-    best = F.max_by(F.struct("cand", "p"), F.struct("p", "m", F.col("cand")))
-    return scored.groupBy("word").agg(best.alias("b")).select("word", F.col("b.cand").alias("fix"), F.col("b.p").alias("p"))
+    scored = C.map_texts(candidates(counts), "word string, n long, cand string, m long, p double", run)
+    best = F.max_by(F.struct("cand", "p", "n", "m"), F.struct("p", "m", F.col("cand")))
+    sure = ~F.col("word").rlike(r"^[\p{L}'’-]+$") | (F.col("b.m") >= F.col("b.n") * SURE_RATIO)
+    return scored.groupBy("word").agg(best.alias("b")).select("word", F.col("b.cand").alias("fix"), F.col("b.p").alias("p"), sure.alias("sure"))
+
+
+def in_company(texts: DataFrame, fixes: DataFrame) -> DataFrame:
+    """The sure corrections, and the others whose texts mostly hold a sure misreading, or two unsure ones, besides."""
+    if fixes.where("NOT sure").isEmpty():
+        return fixes
+    if fixes.count() <= BROADCAST_WORDS:
+        known = texts.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in fixes.select("word", "sure").collect()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                k, has = Counter(), Counter()
+                for t in pdf["text"]:
+                    ws = [w for w in set(words(C.content(t))) if w in known.value]
+                    open_ = [w for w in ws if not known.value[w]]
+                    k.update(open_)
+                    if len(open_) < len(ws) or len(ws) >= MISREAD_WORDS:
+                        has.update(open_)
+                yield pd.DataFrame([(w, n, has[w]) for w, n in k.items()], columns=["word", "k", "has"])
+
+        per = texts.select("text").mapInPandas(run, "word string, k long, has long").groupBy("word").agg(F.sum("k").alias("k"), F.sum("has").alias("has"))
+    else:
+
+        def every(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = [(j, f, c, w) for j, f, c, t in zip(pdf["job_id"], pdf["file_index"], pdf["fld"], pdf["text"]) for w in set(words(C.content(t))) if is_word(w)]
+            return pd.DataFrame(rows, columns=["job_id", "file_index", "fld", "word"])
+
+        at = C.map_texts(texts.distinct(), "job_id string, file_index int, fld string, word string", every).join(fixes.select("word", "sure"), "word")
+        own = at.groupBy("job_id", "file_index", "fld").agg(F.collect_list(F.when(~F.col("sure"), F.col("word"))).alias("ws"), (F.max("sure") | (F.count("*") >= MISREAD_WORDS)).cast("long").alias("has"))
+        per = own.select(F.explode("ws").alias("word"), "has").groupBy("word").agg(F.count("*").alias("k"), F.sum("has").alias("has"))
+    return fixes.join(per, "word", "left").where(F.col("sure") | (F.col("has") >= F.col("k") * COMPANY)).select(fixes.columns)
 
 
 # ---------------------------------------------------------------- lines
@@ -606,7 +643,7 @@ class Shipped:
         spark = results.sparkSession
         self.texts = both_fields(results)
         self.counts = C.cut(word_counts(self.texts))
-        self.fixes = C.cut(corrections(self.counts, fit_replacements(self._vocab(2000))))
+        self.fixes = C.cut(in_company(self.texts, C.cut(corrections(self.counts, fit_replacements(self._vocab(2000))))))
         sample = C.sample_texts(results, "extracted_text", sample_rows)
         self.models = spark.sparkContext.broadcast(PageModels(sample, self._vocab(LEXICON_WORDS)))
 

@@ -157,6 +157,17 @@ def test_ways_beyond_the_broadcast_bounds_agree(spark, folder, monkeypatch):
     assert clean[99, "extracted_text"] == "The council and the register and the bridge. the winter"
 
 
+@pytest.mark.parametrize("times", [1, 5])
+@pytest.mark.parametrize("bound", [10**6, -1])
+def test_repeated_misreading_is_found_at_any_size(spark, monkeypatch, times, bound):
+    monkeypatch.setattr(p1, "BROADCAST_WORDS", bound)
+    clean = ["The council signed the register near the bridge in winter."] * 80 + ["The weil stood near the bridge."] * 60 + ["The well stood near the bridge."] * 3
+    dirty = ["The c0uncil of the regist3r near the bridqe in wintcr."]
+    rows = [("j", i, "f", {}, t, "", False) for i, t in enumerate((clean + dirty) * times)]
+    fixes = {x.word: x.fix for x in p1.Shipped(spark.createDataFrame(rows, schema.RESULTS)).fixes.collect()}
+    assert fixes["wintcr"] == "winter" and fixes["bridqe"] == "bridge" and "well" not in fixes
+
+
 def test_spelled_hyphens_stay(spark):
     vocab = p1.Counter({w: 50 for w in ("known", "well-known", "ein", "und", "register", "council", "winter", "garden")})
     m = p1.PageModels(["The council signed the register in the winter of the year. " * 3], vocab)
