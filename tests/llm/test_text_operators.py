@@ -327,6 +327,22 @@ def test_alignment_with_merges_omissions_and_reordering():
     assert p7.blocks([], [["a"]], lex, ("en", "de")) == [] and p7.numbered(None) == [] and p7.numbered("# x\nA b. C d! E") == ["A b.", "C d!", "E"]
 
 
+def test_lexicon_and_rarity_see_more_than_the_first_rows(spark):
+    text = lambda lang, n: " ".join(sentence(lang, *x) for x in triples(6, n))
+    rows = [("a", n, "f", {}, text("en", n), text("de", n), False) for n in range(90)] + [("b", n, "f", {}, text("de", n + 200), text("en", n + 200), False) for n in range(30)]
+    r = spark.createDataFrame(rows, schema.RESULTS).coalesce(1)
+    q = spark.createDataFrame([(x[0], x[1]) for x in rows], ALIGN)
+    both = r.select("job_id", "file_index", "extracted_text", "translation")
+    drawn = p7.sample_pairs(both, 40)
+    assert len(drawn) == 40 and sum(a.startswith(("The", "the")) for a, _ in drawn) == 20
+    df, n = p7.rarity(both)
+    whole = p7.sentence_counts([t for x in rows for t in x[4:6]])
+    assert n == whole[1] and df == {w: c for w, c in whole[0].items() if c > (1 + n) / np.exp(6) - 1}
+    links = {x[:4] for x in (tuple(y) for y in p7.aligned(q, r, sample_rows=60).collect())}
+    assert sum(j == "b" and a == b for j, _, a, b in links) >= 0.9 * 180
+    assert p7.quotas({("a", "b"): 5, ("c", "d"): 1000, ("e", "f"): 80}, 100) == {("a", "b"): 5, ("c", "d"): 48, ("e", "f"): 47}
+
+
 # ---------------------------------------------------------------- 8
 
 
