@@ -432,8 +432,8 @@ def stream_edits(spark, d):
 
 @query("stream_log_days")
 def stream_log_days(spark, d):
-    s = T.log_counts(T.stream_table(spark, f"{d}/logs.parquet", schema.LOGS))
-    return _drain(s, "append", s.schema)
+    s = T.log_counts(T.stream_table(spark, f"{d}/logs.parquet", schema.LOGS), late=None)
+    return _drain(s, "complete", s.schema)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

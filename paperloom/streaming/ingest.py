@@ -38,8 +38,13 @@ def latest_edits(edits: DataFrame) -> DataFrame:
     return E.collapse(edits)
 
 
-def log_counts(logs: DataFrame, late: str = "2 days", window: str = "1 day") -> DataFrame:
-    """(start, level, n): distinct events per day; state ends once ``late`` has passed."""
+def log_counts(logs: DataFrame, late: str | None = "2 days", window: str = "1 day") -> DataFrame:
+    """(start, level, n): distinct events per day; state ends once ``late`` has passed.
+
+    With ``late=None`` no event is too late and no window closes: for complete mode over
+    a finite table.
+    """
     level = F.upper(F.coalesce("level", F.lit("INFO")))
-    d = logs.withColumn("level", level).withWatermark("ts", late).dropDuplicates(["ts", "level", "msg"])
+    d = logs.withColumn("level", level)
+    d = (d.withWatermark("ts", late) if late else d).dropDuplicates(["ts", "level", "msg"])
     return d.groupBy(F.window("ts", window), "level").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "level", "n")

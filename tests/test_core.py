@@ -242,6 +242,15 @@ def test_file_queue_stream(spark, tmp_path):
     assert sorted(seen) == ["a.png", "b.png"]
 
 
+def test_stream_log_days_has_every_day(spark, tmp_path):
+    from paperloom import queries as Q
+
+    rows = "VALUES ('2022-05-01 10:00', 'info', 'a'), ('2022-05-06 09:00', null, 'b'), ('2022-05-06 09:00', 'INFO', 'b'), ('2022-05-07 01:24', 'error', 'c'), ('2022-04-01 00:00', 'INFO', 'late') AS t(ts, level, msg)"
+    spark.sql(f"SELECT CAST(ts AS TIMESTAMP) AS ts, level, msg FROM {rows}").repartition(5).write.parquet(str(tmp_path / "logs.parquet"))
+    got = {(r.start.strftime("%Y-%m-%d"), r.level, r.n) for r in Q.queries()["stream_log_days"](spark, str(tmp_path)).collect()}
+    assert got == {tuple(r) for r in Q.queries()["log_days"](spark, str(tmp_path)).collect()} and len(got) == 4
+
+
 def test_snapshots(spark, tmp_path):
     D.save_snapshot(spark.range(1), str(tmp_path / "s"), 1)
     D.save_snapshot(spark.range(2), str(tmp_path / "s"), 2)
