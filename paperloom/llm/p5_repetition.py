@@ -1,16 +1,17 @@
 """Repetition inside a single document (problem 5).
 
 Method: a logistic regression over hashed word and character n-gram features,
-Platt-calibrated and scored in Arrow batches against a fixed threshold, retrieves
-documents that may repeat themselves; an exact count of the repeated characters
-follows for those and decides. ``p5_share`` counts every text, whatever its probability.
+probability-calibrated (Platt) and scored in Arrow batches, decides at the fixed
+threshold ``CASE_P`` which texts repeat themselves. ``p5_share`` measures the repeated
+content of every text exactly and gives the probability beside it.
 
 Features of a text are the hashed n-grams of its normalised words: each n-gram
-(1 and 3 words; 12 characters) falls into one of ``DIM`` buckets of its kind,
+(runs of 1, 3 and ``RUN`` words; 12 characters) falls into one of ``DIM`` buckets of its kind,
 repeated n-grams weigh their share of all n-grams of the kind; occurrences after the
 first count in a second half of the buckets, their sum in a bucket of its own. Labels are the rows' exact shares,
 over a bounded sample of ``SAMPLE_ROWS`` texts and copies of them into which
-repeated parts were written.
+repeated parts were written; ``held_out`` gives recall and precision on a quarter of the
+sample that took no part in the fit.
 
 Cases: null, empty and blank texts have a share of 0 and are no cases; very long
 texts are worked on whole in linear time; repeated rows give one result row;
@@ -33,8 +34,9 @@ from . import common as C
 from .linear import fit_logistic, fit_platt, sigmoid
 
 DIM = 128
+KINDS = 4
 SAMPLE_ROWS = 1500
-CANDIDATE_P = 0.03
+CASE_P = 0.5
 SHARE = 0.35
 RUN = 6
 CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -100,7 +102,7 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
         return [], []
     flat = "".join(ws)
     at, val = [], []
-    for k, grams in enumerate((ws, list(zip(ws, ws[1:], ws[2:])), [flat[i : i + 12] for i in range(0, len(flat) - 11, 3)])):
+    for k, grams in enumerate((ws, list(zip(ws, ws[1:], ws[2:])), list(zip(*[ws[i:] for i in range(RUN)])), [flat[i : i + 12] for i in range(0, len(flat) - 11, 3)])):
         total, extra = len(grams), len(grams) - len(set(grams))
         if not total:
             continue
@@ -110,12 +112,12 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
                     h = zlib.crc32(g.encode() if isinstance(g, str) else " ".join(g).encode()) % DIM
                     at += (2 * k * DIM + h, (2 * k + 1) * DIM + h)
                     val += (1 / total, (n - 1) / total)
-        at.append(6 * DIM + k)
+        at.append(KINDS * 2 * DIM + k)
         val.append(extra / total)
     return at, val
 
 
-WIDTH = 6 * DIM + 3
+WIDTH = KINDS * 2 * DIM + KINDS
 
 
 def dense(texts: list[str]) -> np.ndarray:
@@ -145,13 +147,19 @@ def written_repeats(texts: list[str], seed: int = 5) -> list[str]:
     return out
 
 
-def fit(texts: list[str], seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights of the calibrated model: probability = sigmoid(sum of weights + bias)."""
+def _labelled(texts: list[str], seed: int) -> tuple[list[str], np.ndarray]:
+    """The sample and its copies with written repetitions, with their labels."""
     texts = texts or ["a b c d e f g"]
     every = texts + written_repeats(texts, seed)
     y = np.array([repeated_share(t) >= SHARE for t in every], float)
     if y.min() == y.max():
         every, y = every + ["one two three four five six. " * 9, "a clean line"], np.append(y, [1.0, 0.0])
+    return every, y
+
+
+def fit(texts: list[str], seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights of the calibrated model: probability = sigmoid(sum of weights + bias)."""
+    every, y = _labelled(texts, seed)
     x = dense(every)
     held = np.arange(len(every)) % 4 == 0
     if y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
@@ -163,10 +171,20 @@ def fit(texts: list[str], seed: int = 5) -> tuple[np.ndarray, float]:
     return (w * a * 10).astype(np.float64), float(a * b + c)
 
 
-def shares(results: DataFrame, sample_rows: int = SAMPLE_ROWS, least_p: float = 0.0) -> DataFrame:
-    """(job_id, file_index, p, share): calibrated probability and exact share of each text of ``least_p`` or more."""
-    w, b = fit(C.sample_texts(results, "extracted_text", sample_rows))
-    model = results.sparkSession.sparkContext.broadcast((w, b))
+def held_out(texts: list[str], seed: int = 5) -> tuple[float, float]:
+    """(recall, precision) at ``CASE_P`` on every fourth text, with its copies, of a model of the others."""
+    rest, part = [t for i, t in enumerate(texts) if i % 4], texts[::4]
+    w, b = fit(rest, seed)
+    every, y = _labelled(part, seed + 1)
+    hit = sigmoid(dense(every) / 10 @ w + b) >= CASE_P
+    both = float((hit & (y > 0)).sum())
+    return both / max(1.0, y.sum()), both / max(1.0, float(hit.sum()))
+
+
+def probabilities(results: DataFrame, sample_rows: int = SAMPLE_ROWS, exact: bool = False) -> DataFrame:
+    """(job_id, file_index, p): calibrated probability of each text; with ``exact`` its share of repeated content too."""
+    model = results.sparkSession.sparkContext.broadcast(fit(C.sample_texts(results, "extracted_text", sample_rows)))
+    names = ["job_id", "file_index", "p", *(["share"] if exact else [])]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         w, b = model.value
@@ -176,15 +194,13 @@ def shares(results: DataFrame, sample_rows: int = SAMPLE_ROWS, least_p: float =
             at, val = features(t)
             p[i] = b + sum(w[j] * v for j, v in zip(at, val))
         pdf = pdf.assign(p=sigmoid(p))
-        pdf = pdf[pdf["p"] >= least_p]
-        return pdf.assign(share=[repeated_share(t) for t in pdf["text"]])[["job_id", "file_index", "p", "share"]]
+        return (pdf.assign(share=[repeated_share(t) for t in pdf["text"]]) if exact else pdf)[names]
 
-    return C.map_texts(C.fields(results, ("extracted_text",)), "job_id string, file_index int, p double, share double", score)
+    return C.map_texts(C.fields(results, ("extracted_text",)), "job_id string, file_index int, p double" + (", share double" if exact else ""), score)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = C.table(spark, sf_dir, "results")
-    return shares(r, least_p=CANDIDATE_P).where(F.col("share") >= SHARE).select("job_id", "file_index").distinct()
+    return probabilities(C.table(spark, sf_dir, "results")).where(F.col("p") >= CASE_P).select("job_id", "file_index").distinct()
 
 
 def share_by_result(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +211,7 @@ def share_by_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     r = C.table(spark, sf_dir, "results")
     keys = r.select("job_id", F.col("file_index").cast("int").alias("file_index")).distinct()
-    s = shares(r).groupBy("job_id", "file_index").agg(F.max(F.struct("share", "p")).alias("b"))
+    s = probabilities(r, exact=True).groupBy("job_id", "file_index").agg(F.max(F.struct("share", "p")).alias("b"))
     s = s.select(F.col("job_id").alias("j"), F.col("file_index").alias("f"), "b.share", "b.p")
     own = F.col("job_id").eqNullSafe(F.col("j")) & F.col("file_index").eqNullSafe(F.col("f"))
     return keys.join(s, own, "left").select("job_id", "file_index", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"), F.round("p", 6).alias("p"))

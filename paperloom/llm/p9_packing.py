@@ -3,13 +3,16 @@
 Method: optimal length buckets. Documents are measured in tokens of a public
 tokenizer; one longer than the capacity is split into full pieces and a rest, no other
 is split. The global histogram of lengths (at most ``capacity`` entries) goes to the
-driver, where dynamic programming sets the bucket boundaries that minimise padding to
-the bucket's upper bound. Token-budget batches then form inside each bucket, from the
-longest bucket down, as patterns ("k items of this length, so many times"). Batches of
-one bucket alone leave up to half a container unused when items are longer than half
-the capacity; so the room a batch leaves is topped up from the next lower buckets before
-the container is closed.
-
+driver, where dynamic programming over every length sets the boundaries of ``BUCKETS``
+buckets so that padding each document to its bucket's upper bound costs least.
+Token-budget batches form inside each bucket, from the longest bucket down: a batch of
+the bucket up to ``u`` takes ``capacity // u`` of its documents, as many as fit however
+they are padded. The room that a batch doesn't use (its padding and what ``u`` doesn't
+divide) is the remainder; it is topped up with the longest documents that fit from the
+buckets below, and from the batch's own bucket once those are used up. ``buckets`` reports the padding that
+the boundaries leave, ``fill`` the room that is used in the end.
+
+A batch is kept as a pattern ("k items of this length, so many times").
 Documents take their places by rank within their length; ranks come from counts per
 (length, salt), so a length that holds a third of all rows is spread over tasks. Only
 the histogram and the patterns, both bounded by the capacity, are ever on the driver.
@@ -52,82 +55,101 @@ def token_counts(documents: DataFrame, name: str = TOKENIZER, where: str = TOKEN
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_tokens int")
 
 
-def bounds(hist: dict[int, int], buckets: int = BUCKETS, grid: int = 256) -> list[int]:
-    """Upper bounds of the buckets that minimise the total padding, by dynamic programming.
+def bounds(hist: dict[int, int], buckets: int = BUCKETS) -> list[int]:
+    """Upper bounds of at most so many buckets that minimise the total padding.
 
-    Lengths are taken on at most ``grid`` quantile points, each an existing length.
+    Exact over all lengths. A bucket over the lengths after i up to j pads
+    ``len[j] * (count[j] - count[i]) - (sum[j] - sum[i])``: for each j the least of lines
+    with the slope ``-count[i]``, which fall as i grows, so one hull a round is enough.
     """
-    lens = sorted(n for n in hist if n > 0)
+    lens = sorted(n for n, k in hist.items() if n > 0 and k > 0)
     if not lens:
         return []
-    if len(lens) > grid:
-        cum = np.cumsum([hist[n] * n for n in lens])
-        at = np.unique(np.searchsorted(cum, np.linspace(0, cum[-1], grid + 1)[1:]))
-        points = sorted({lens[min(i, len(lens) - 1)] for i in at} | {lens[-1]})
-    else:
-        points = lens
-    arr = np.array(lens)
-    cnt, tot = np.cumsum([hist[n] for n in lens]), np.cumsum([hist[n] * n for n in lens])
-    upto = np.searchsorted(arr, points, side="right") - 1
-    c, t = np.append(0, cnt[upto]).astype(float), np.append(0, tot[upto]).astype(float)
-    m = len(points)
-    best, back = np.full(m + 1, np.inf), []
-    best[0] = 0
+    m = len(lens)
+    cnt, tot = [0], [0]
+    for n in lens:
+        cnt.append(cnt[-1] + hist[n])
+        tot.append(tot[-1] + hist[n] * n)
+    best: list[int | None] = [0] + [None] * m
+    back: list[list[int]] = []
     for _ in range(min(buckets, m)):
-        cost = best[:, None] + np.array(points)[None, :] * (c[None, 1:] - c[:, None]) - (t[None, 1:] - t[:, None])
-        cost[np.arange(m + 1)[:, None] > np.arange(m)[None, :]] = np.inf
-        arg = cost.argmin(0)
-        new = np.minimum(cost[arg, np.arange(m)], np.inf)
+        new: list[int | None] = [None] * (m + 1)
+        arg = [0] * (m + 1)
+        hull: list[tuple[int, int, int]] = []
+        at = 0
+        for j in range(1, m + 1):
+            if best[j - 1] is not None:
+                k, d = -cnt[j - 1], best[j - 1] + tot[j - 1]
+                while len(hull) >= 2 and (hull[-1][1] - hull[-2][1]) * (hull[-1][0] - k) >= (d - hull[-1][1]) * (hull[-2][0] - hull[-1][0]):
+                    hull.pop()
+                hull.append((k, d, j - 1))
+            if not hull:
+                continue
+            x = lens[j - 1]
+            at = min(at, len(hull) - 1)
+            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
+                at += 1
+            k, d, i = hull[at]
+            new[j] = k * x + d + x * cnt[j] - tot[j]
+            arg[j] = i
         back.append(arg)
-        nxt = np.append(np.inf, new)
-        nxt[0] = 0
-        best = nxt
+        best = new
     out, j = [], m
     for arg in reversed(back):
-        if j <= 0:
-            break
-        out.append(points[j - 1])
-        j = int(arg[j - 1])
+        if j > 0:
+            out.append(lens[j - 1])
+            j = arg[j]
     return sorted(out)
 
 
-def plan(hist: dict[int, int], capacity: int, buckets: int = BUCKETS) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(hist: dict[int, int], capacity: int, upper: list[int] | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Places for every length: (length, first rank, ranks, first container, ranks per container).
 
-    Also the number of containers. Patterns repeat as long as their lengths last.
+    Also the number of containers. ``upper`` are the buckets' bounds, optimal ones if
+    none are given. Patterns repeat as long as their lengths last.
     """
-    left = {n: k for n, k in hist.items() if 0 < n <= capacity and k > 0}
-    lens = sorted(left)
-    upper = bounds(left, buckets)
-    used: dict[int, int] = dict.fromkeys(lens, 0)
+    have = {n: k for n, k in hist.items() if 0 < n <= capacity and k > 0}
+    upper = bounds(have) if upper is None else upper
+    alive = np.array(sorted(have), np.int64)
+    left = np.array([have[n] for n in alive.tolist()], np.int64)
+    used: dict[int, int] = dict.fromkeys(have, 0)
     places, containers = [], 0
-    alive = np.array(lens)
     while len(alive):
         top = int(alive[-1])
-        low = upper[np.searchsorted(upper, top) - 1] if np.searchsorted(upper, top) > 0 else 0
-        pattern: dict[int, int] = {top: 1}
-        room = capacity - top
-        while room > 0:
-            #: Inside the bucket first: the longest that fits, then the buckets below.
-            i = int(np.searchsorted(alive, room, side="right")) - 1
-            while i >= 0 and left[int(alive[i])] <= pattern.get(int(alive[i]), 0):
-                i -= 1
-            if i < 0:
-                break
+        u = upper[int(np.searchsorted(upper, top))]
+        b = int(np.searchsorted(upper, top))
+        low = upper[b - 1] if b else 0
+        own = int(np.searchsorted(alive, low, side="right"))
+        pattern: dict[int, int] = {}
+        room = capacity
+        #: The batch: so many documents of the bucket as fit with their padding.
+        need, i = capacity // u, len(alive) - 1
+        while need and i >= own:
+            k = min(need, int(left[i]))
+            pattern[i] = k
+            room -= k * int(alive[i])
+            need -= k
+            i -= 1
+        #: The remainder: the buckets below, then what is left of the own one.
+        for first, end in ((0, own), (own, len(alive))):
+            while room > 0:
+                i = min(end, int(np.searchsorted(alive, room, side="right"))) - 1
+                while i >= first and left[i] <= pattern.get(i, 0):
+                    i -= 1
+                if i < first:
+                    break
+                k = min(room // int(alive[i]), int(left[i]) - pattern.get(i, 0))
+                pattern[i] = pattern.get(i, 0) + k
+                room -= k * int(alive[i])
+        times = min(int(left[i]) // k for i, k in pattern.items())
+        for i, k in pattern.items():
             n = int(alive[i])
-            if n <= low and top > low:
-                low = -1  # the bucket has nothing more that fits; top up from below
-            k = min(room // n, left[n] - pattern.get(n, 0))
-            pattern[n] = pattern.get(n, 0) + k
-            room -= k * n
-        times = min(left[n] // k for n, k in pattern.items())
-        for n, k in pattern.items():
             places.append((n, used[n], k * times, containers, k))
             used[n] += k * times
-            left[n] -= k * times
+            left[i] -= k * times
         containers += times
-        if any(left[n] == 0 for n in pattern):
-            alive = np.array([n for n in alive.tolist() if left[n] > 0])
+        if any(left[i] == 0 for i in pattern):
+            alive, left = alive[left > 0], left[left > 0]
     return places, containers
 
 
@@ -201,4 +223,19 @@ def fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p9_packed": containers, "p9_fill": fill}
+def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(capacity_tokens, upper, n_items, n_tokens, padding): the buckets and what padding to their bounds costs."""
+    items = pieces(C.cut(token_counts(C.table(spark, sf_dir, "documents"))), _capacities(spark, sf_dir) or [1])
+    hist = [tuple(r) for r in items.where("n_tokens > 0").groupBy("capacity_tokens", "n_tokens").count().collect()]  # at most capacity rows each
+    rows = []
+    for c in sorted({r[0] for r in hist}):
+        h = {n: k for cc, n, k in hist if cc == c}
+        upper = bounds(h)
+        for low, u in zip([0, *upper], upper):
+            inside = {n: k for n, k in h.items() if low < n <= u}
+            count, total = sum(inside.values()), sum(n * k for n, k in inside.items())
+            rows.append((c, u, count, total, u * count - total))
+    return spark.createDataFrame(rows, "capacity_tokens int, upper int, n_items long, n_tokens long, padding long")
+
+
+QUERIES = {"p9_packed": containers, "p9_fill": fill, "p9_buckets": buckets}

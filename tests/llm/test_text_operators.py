@@ -274,13 +274,14 @@ def test_repeated_share_against_brute_force():
     assert p5.repeated_share("Page 1 is missing today. Page 2 is missing today.") == pytest.approx(0.5)
 
 
-def test_repetition_model_misses_nothing_of_its_kind():
-    texts = [" ".join(sentence("en", *x) for x in triples(8, n)) for n in range(150)]
-    w, b = p5.fit(texts[:100])
-    for t in p5.written_repeats(texts[100:], seed=8):
-        if p5.repeated_share(t) >= p5.SHARE:
-            at, val = p5.features(t)
-            assert p5.sigmoid(np.array(b + sum(w[i] * v for i, v in zip(at, val)))) >= p5.CANDIDATE_P
+def test_repetition_model_decides_held_out_texts():
+    texts = [" ".join(sentence("en", *x) for x in triples(8, n)) for n in range(200)]
+    recall, precision = p5.held_out(texts)
+    assert recall >= 0.9 and precision >= 0.9
+    w, b = p5.fit(texts)
+    p = lambda t: p5.sigmoid(np.array(b + sum(w[i] * v for i, v in zip(*p5.features(t)))))
+    own = "The miller of the upper valley wrote down every sack that left his yard before the flood."
+    assert p(own + " " + own + " " + own) >= p5.CASE_P > p(own) and p(None) < p5.CASE_P and p("") < p5.CASE_P
 
 
 def test_moderate_shares_are_kept(spark, tmp_path, monkeypatch):
@@ -396,6 +397,23 @@ def test_packing_places_every_token_once(spark, folder):
     assert n <= 1.09 * sum(k * v for k, v in hist.items()) / 16
 
 
+def test_buckets_decide_the_placements(spark, folder):
+    rnd = random.Random(5)
+    hist = {}
+    for _ in range(5000):
+        n = min(256, 1 + int(rnd.lognormvariate(3, 1)))
+        hist[n] = hist.get(n, 0) + 1
+    own, n = p9.plan(hist, 256)
+    assert own == p9.plan(hist, 256, p9.bounds(hist))[0]
+    assert own != p9.plan(hist, 256, [256])[0] and own != p9.plan(hist, 256, sorted(hist))[0] and p9.plan(hist, 256, [128, 256])[0] != own
+    assert n <= 1.01 * sum(k * v for k, v in hist.items()) / 256
+    u = p9.bounds(hist)[-1]
+    first = [(n, k) for n, _, _, box, k in own if box == 0]
+    assert sum(k for n, k in first if n > p9.bounds(hist)[-2]) >= 256 // u  # the batch of the longest bucket
+    rows = Q.queries()["p9_buckets"](spark, folder).collect()
+    assert {r.capacity_tokens for r in rows} == {16, 64} and all(r.padding >= 0 for r in rows)
+
+
 # ---------------------------------------------------------------- 10
 
 
