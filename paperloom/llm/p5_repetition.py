@@ -148,9 +148,9 @@ def written_repeats(texts: list[str], seed: int = 5) -> list[str]:
 
 
 def _labelled(texts: list[str], seed: int) -> tuple[list[str], np.ndarray]:
-    """The sample and its copies with written repetitions, with their labels."""
+    """The sample, its copies with written repetitions, and single sentences, with their labels."""
     texts = texts or ["a b c d e f g"]
-    every = texts + written_repeats(texts, seed)
+    every = texts + written_repeats(texts, seed) + [""] * (1 + len(texts) // 20) + [s for t in texts for s in C.sentences(t)[:1]]
     y = np.array([repeated_share(t) >= SHARE for t in every], float)
     if y.min() == y.max():
         every, y = every + ["one two three four five six. " * 9, "a clean line"], np.append(y, [1.0, 0.0])
