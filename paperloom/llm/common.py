@@ -11,6 +11,7 @@ Conventions used by every operator of this subpackage:
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -82,14 +83,24 @@ def fields(results: DataFrame, cols: tuple[str, ...] = ("extracted_text", "trans
     )
 
 
-def sample_texts(df: DataFrame, col: str, n: int) -> list[str]:
-    """A bounded sample for fitting: the first n non-blank texts that Spark meets.
+def sample_rows(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """A bounded sample for fitting: at most n distinct rows, those of the least hashes.
 
-    ``limit`` reads only as many files as it needs, so the cost doesn't grow with
-    the table. Used for fitting models only, never for corpus statistics.
+    Hashes of the rows' own values choose, so neither the order of the files nor repeated
+    rows matter; a share of the hashes that holds about 3 n rows is cut out before
+    anything is sorted.
     """
-    rows = df.where(F.col(col).isNotNull() & (F.length(F.trim(F.col(col))) > 0)).select(col).limit(n).collect()
-    return sorted({r[0] for r in rows})
+    total, parts = df.count(), 1 << 20
+    h = F.xxhash64(*by)
+    if total > 3 * n:
+        df = df.where(F.pmod(h, F.lit(parts)) < max(1, 3 * n * parts // total))
+    return df.distinct().orderBy(F.pmod(h, F.lit(parts)), h, *by).limit(n)
+
+
+def sample_texts(df: DataFrame, col: str, n: int) -> list[str]:
+    """At most n distinct non-blank texts, drawn by hash; for fitting models only, never for corpus statistics."""
+    rows = sample_rows(df.select(col).where(F.col(col).isNotNull() & (F.length(F.trim(F.col(col))) > 0)), [col], n).collect()
+    return sorted(r[0] for r in rows)
 
 
 def map_texts(df: DataFrame, schema: str, rows_of: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -109,9 +120,9 @@ def checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not where:
-            import tempfile
-
-            where = tempfile.mkdtemp(prefix="paperloom-checkpoint-")
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            where = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "paperloom-checkpoints")
         sc.setCheckpointDir(where)
 
 

@@ -62,7 +62,7 @@ def labelled_sample(documents: DataFrame, text: str = "text", lang: str = "lang"
 
     Labels may be wrong; learners drop rows that contradict their first model.
     """
-    rows = documents.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(lang, text).limit(n).collect()
+    rows = C.sample_rows(documents.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(lang, text), [lang, text], n).collect()
     out = [(k, s) for k, v in SEEDS.items() for s in C.SENT_END.split(v) if s.strip()]
     for code, t in rows:
         k = label_code(code)

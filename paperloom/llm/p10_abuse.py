@@ -6,21 +6,25 @@ letters, gaps decayed by ``DECAY``), so inserted, masked or doubled letters keep
 of the similarity; sentences by the sum of squared word similarities and of products
 over neighbouring words. Landmarks are the labelled sentences; a linear SVM (squared
 hinge) per category is trained in the Nyström space. At scoring time the machine's
-weights are folded onto words and word pairs, which are scored once and kept.
-
-Labelled sentences come from templates in ``abuse_sentences`` and, as clean ones, a
-bounded sample of ``documents`` (``SAMPLE_ROWS``); sentences of that sample that a
-first machine scores as abusive are left out of the next fits.
-
-Cases: null, empty and blank documents score 0 and give no rows; very long documents
-are scored sentence by sentence over their whole length; a document may have several
-categories, one row each; repeated rows give one result; an empty table gives no rows.
+weights are folded onto words and word pairs, which are scored once and kept; a passage
+counts by its best window of ``WINDOWS`` words or as a whole.
+
+Labelled sentences are the templates of ``abuse_sentences``, written for it and found in
+no test table. The machine then trains itself on a bounded sample of ``documents``
+(``SAMPLE_ROWS``, drawn by hash): what a fit holds for clean becomes a clean row, what it
+is sure of a labelled one (``ROUNDS``).
+
+Cases: null, empty and blank documents score -1 and give no rows; very long documents
+are scored passage by passage over their whole length; a passage of one word is none; a
+document may have several categories, one row each; repeated rows give one result; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,12 +34,18 @@ from pyspark.sql import functions as F
 from . import common as C
 from .abuse_sentences import CATEGORIES, labelled
 
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS = 3000
 #: Filled sentences of each template that are landmarks.
 LANDMARKS = 3
+#: Weight of a case's slack over a clean sentence's.
+POSITIVE = 2.0
 DECAY = 0.6
 SPAN = 5
 DIM = 4096
+#: A document is a case from this decision value on; unseen wordings score lower than labelled ones.
+CASE = -0.1
+#: Words of the windows that a passage is scored in, beside the whole.
+WINDOWS = (8,)
 #: Word similarities below this are nothing.
 LEAST = 0.45
 PASSAGE = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|\n+|(?<=[。！？])|\\n")
@@ -109,7 +119,7 @@ class Words:
         if r is None:
             if len(self.kept) > 300_000:
                 self.kept.clear()
-            f = subsequences(w[:40])
+            f = subsequences(w)
             if f:
                 k = np.array(list(f.values()), np.float32) @ self.table[list(f)]
                 at = np.flatnonzero(k >= LEAST)
@@ -123,10 +133,12 @@ class Words:
 class Machine:
     """The trained machine; ``scores`` gives a decision value per category."""
 
-    def __init__(self, rows: list[tuple[str, str]], clean: list[str], words: Words | None = None):
-        marks = list(dict.fromkeys(t for _, t in labelled(LANDMARKS)))
+    def __init__(self, rows: list[tuple[str, str]], clean: list[str], own: list[tuple[str, str]] | None = None, words: Words | None = None):
+        marks = list(dict.fromkeys([*(t for _, t in labelled(LANDMARKS)), *(t for _, t in own or ())]))
         units = [tokens(t) for t in marks]
-        self.words = words or Words(sorted({w for u in units for w in u}))
+        rows = rows + (own or [])
+        vocab = sorted({w for u in units for w in u})
+        self.words = words if words is not None and words.vocab == vocab else Words(vocab)
         at = {w: i for i, w in enumerate(self.words.vocab)}
         m, v = len(marks), len(self.words.vocab)
         self.single = np.zeros((v, m), np.float32)
@@ -156,16 +168,23 @@ class Machine:
         x = k @ white
         beta, self.bias = [], []
         for j in range(len(CATEGORIES)):
-            weight = np.where(y[:, j] > 0, 2.0, 1.0)
+            weight = np.where(y[:, j] > 0, POSITIVE, 1.0)
             w, b = self._svm(x, np.where(y[:, j] > 0, 1.0, -1.0), weight)
             beta.append(white @ w)
             self.bias.append(b)
         beta = np.stack(beta, 1)
         self.word_score, self.pair_score = self.single @ beta, self.double @ beta
-        self.pair_kept: dict[tuple[str, str], tuple | None] = {}
-        self.word_kept: dict[str, tuple | None] = {}
+        self.bias = np.array(self.bias)
+        self._forget()
         del self.single, self.double
 
+    def _forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.names: list[str] = []
+        self.word_rows = np.zeros((4096, len(CATEGORIES)))
+        self.pair_ids: dict[int, int] = {}
+        self.pair_rows = np.zeros((4096, len(CATEGORIES)))
+
     def _row(self, ws: list[str]) -> np.ndarray:
         out = np.zeros(self.single.shape[1], np.float32)
         near = [self.words.near(w) for w in ws]
@@ -180,7 +199,7 @@ class Machine:
         return out / max(1.0, (2.0 * len(ws)) ** 0.5)
 
     @staticmethod
-    def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 40.0, steps: int = 300) -> tuple[np.ndarray, float]:
+    def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 40.0, steps: int = 160) -> tuple[np.ndarray, float]:
         """Squared-hinge linear SVM by accelerated gradient descent."""
         x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
         c = (c * weight / len(y) * 50).astype(np.float32)
@@ -195,100 +214,153 @@ class Machine:
             w = new
         return w[:-1], float(w[-1])
 
-    def _word(self, w: str) -> tuple | None:
-        r = self.words.near(w)
-        if not r:
-            return None
-        s = sum(v * self.word_score[i] for i, v in r.items())
-        return tuple(float(q) for q in s)
-
-    def _pair(self, a: str, b: str) -> tuple | None:
-        na, nb = self.words.near(a), self.words.near(b)
-        s = None
-        for i, v in na.items():
-            for j, n in self.first.get(i, ()):
-                if j in nb:
-                    q = v * nb[j] * self.pair_score[n]
-                    s = q if s is None else s + q
-        return None if s is None else tuple(float(q) for q in s)
-
-    def sentence(self, text: str) -> list[float]:
-        """Decision values of a sentence that ``plain`` has gone over."""
-        ws = tokens(text)
-        out = list(self.bias)
-        if len(ws) < 2:
-            return [-1.0] * len(out)
-        scale = (2.0 * len(ws)) ** -0.5
-        if len(self.pair_kept) > 400_000:
-            self.pair_kept.clear()
-        if len(self.word_kept) > 400_000:
-            self.word_kept.clear()
-        last = None
-        for w in ws:
-            s = self.word_kept.get(w, 0)
-            if s == 0:
-                s = self.word_kept[w] = self._word(w)
-            if s is not None:
-                for j, v in enumerate(s):
-                    out[j] += v * scale
-                if last is not None:
-                    p = self.pair_kept.get((last, w), 0)
-                    if p == 0:
-                        p = self.pair_kept[(last, w)] = self._pair(last, w)
-                    if p is not None:
-                        for j, v in enumerate(p):
-                            out[j] += v * scale
-            last = w
+    def _id(self, w: str) -> int:
+        i = self.ids.get(w)
+        if i is None:
+            i = self.ids[w] = len(self.ids)
+            self.names.append(w)
+            if i >= len(self.word_rows):
+                self.word_rows = np.concatenate([self.word_rows, np.zeros_like(self.word_rows)])
+            for k, v in self.words.near(w).items():
+                self.word_rows[i] += v * self.word_score[k]
+        return i
+
+    def _pair(self, key: int) -> int:
+        i = self.pair_ids.get(key)
+        if i is None:
+            i = self.pair_ids[key] = len(self.pair_ids)
+            if i >= len(self.pair_rows):
+                self.pair_rows = np.concatenate([self.pair_rows, np.zeros_like(self.pair_rows)])
+            na, nb = self.words.near(self.names[key >> 32]), self.words.near(self.names[key & 0xFFFFFFFF])
+            for k, v in na.items():
+                for j, n in self.first.get(k, ()):
+                    if j in nb:
+                        self.pair_rows[i] += v * nb[j] * self.pair_score[n]
+        return i
+
+    def passages(self, units: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Per token list its decision values, and per category where its best window starts and ends.
+
+        The values of a list are the highest of its windows of ``WINDOWS`` words and of
+        the whole; one of fewer than two words is no passage.
+        """
+        if len(self.ids) > 300_000 or len(self.pair_ids) > 600_000:
+            self._forget()
+        size = np.array([len(u) for u in units], np.int64)
+        flat = np.array([self._id(w) for u in units for w in u], np.int64)
+        c = len(CATEGORIES)
+        best, where = np.full((len(units), c), -1.0), np.zeros((len(units), c, 2), np.int64)
+        if not len(flat):
+            return best, where
+        owner = np.repeat(np.arange(len(units)), size)
+        start = np.cumsum(size) - size
+        keys, back = np.unique((flat[:-1] << 32) | flat[1:], return_inverse=True)
+        rows = np.array([self._pair(int(k)) for k in keys], np.int64)
+        pair = self.pair_rows[rows[back]] if len(keys) else np.zeros((0, c))
+        pair = np.where((owner[:-1] == owner[1:])[:, None], pair, 0.0)
+        cw = np.concatenate([np.zeros((1, c)), np.cumsum(self.word_rows[flat], 0)])
+        cp = np.concatenate([np.zeros((1, c)), np.cumsum(pair, 0)])
+
+        def take(lo: np.ndarray, hi: np.ndarray, who: np.ndarray) -> None:
+            v = self.bias + (cw[hi] - cw[lo] + cp[hi - 1] - cp[lo]) / np.sqrt(2.0 * (hi - lo))[:, None]
+            for j in range(c):
+                order = np.lexsort((v[:, j], who))
+                last = order[np.append(np.flatnonzero(np.diff(who[order])), len(order) - 1)]
+                better = last[v[last, j] > best[who[last], j]]
+                best[who[better], j] = v[better, j]
+                where[who[better], j] = np.stack([lo[better] - start[who[better]], hi[better] - start[who[better]]], 1)
+
+        ok = np.flatnonzero(size >= 2)
+        if len(ok):
+            best[ok] = -np.inf
+            take(start[ok], start[ok] + size[ok], ok)
+        for n in WINDOWS:
+            lo = np.flatnonzero(np.arange(len(flat)) - start[owner] + n < size[owner])
+            if len(lo):
+                take(lo, lo + n, owner[lo])
+        return best, where
+
+    def batch(self, texts: list[str | None]) -> np.ndarray:
+        """Highest decision values of each document's passages, per category."""
+        units, owner = [], []
+        for i, t in enumerate(texts):
+            if not t or not t.strip():
+                continue
+            body = plain(t)
+            parts = PASSAGE.split(body)
+            if "\n" in body:
+                #: Sentences that go over hard line ends are read whole as well.
+                parts += [" ".join(s.split()) for s in WHOLE.split(body) if "\n" in s]
+            for s in parts:
+                u = tokens(s) if s else ()
+                if len(u) >= 2:
+                    units.append(u)
+                    owner.append(i)
+        out = np.full((len(texts), len(CATEGORIES)), -1.0)
+        if units:
+            np.maximum.at(out, np.array(owner), self.passages(units)[0])
         return out
 
     def scores(self, text: str | None) -> list[float]:
-        """Highest decision value of a document's sentences, per category."""
-        best = [-1.0] * len(CATEGORIES)
-        if not text or not text.strip():
-            return best
-        body = plain(text)
-        parts = PASSAGE.split(body)
-        if "\n" in body:
-            #: Sentences that go over hard line ends are read whole as well.
-            parts += [" ".join(s.split()) for s in WHOLE.split(body) if "\n" in s and len(s) < 1000]
-        for s in parts:
-            if s and len(s) > 7:
-                for j, v in enumerate(self.sentence(s)):
-                    if v > best[j]:
-                        best[j] = v
-        return best
-
-
-def clean_sentences(texts: list[str], machine: Machine | None = None, above: float = 0.0, most: int = 3500) -> list[str]:
-    """Sentences of the sample that no machine so far holds for a case, evenly over the texts."""
-    out = sorted({s for t in texts for s in PASSAGE.split(C.content(t)) if 20 < len(s) < 300})
-    out = out[:: max(1, len(out) // most)]
-    return [s for s in out if machine is None or max(machine.sentence(plain(s))) <= above]
+        return self.batch([text])[0].tolist()
 
 
-_TRAINED: dict[int, Machine] = {}
+def sample_sentences(texts: list[str], most: int = 12000) -> dict[str, int]:
+    """Distinct sentences of the sample, evenly over it, with the number of their texts."""
+    df: Counter = Counter()
+    for t in texts:
+        df.update({s for s in PASSAGE.split(C.content(t)) if 12 < len(s) < 300})
+    keep = sorted(df)
+    return {s: df[s] for s in keep[:: max(1, -(-len(keep) // most))]}
 
 
-def train(texts: list[str]) -> Machine:
-    """Three fits: each leaves out of the clean sentences what the one before holds for a case."""
-    key = hash(tuple(texts))
+_TRAINED: dict[int, Machine] = {}
+#: Margins of the fits in turn: a sentence that stands in ``OFTEN`` texts of the sample is
+#: taken for clean up to the first, another up to the second; from the third on it is taken
+#: for a case of its category.
+ROUNDS = ((0.8, 0.8, 9.0), (0.5, -0.1, 0.4), (0.5, -0.2, 0.25), (0.5, -0.2, 0.2))
+#: Clean sentences and sentences of its own that a fit takes at most.
+CLEAN, OWN = 3000, 400
+#: Sentences of so many texts of the sample are forms of the corpus, not cases.
+OFTEN = 4
+
+
+def train(texts: list[str], rows: list[tuple[str, str]] | None = None) -> Machine:
+    """Fits on the labelled sentences, then with what each fit is sure of in the sample (self-training).
+
+    The first fit knows the labelled sentences only. Each later one takes as clean what
+    the one before holds for clean, and as labelled sentences and landmarks of their own
+    what it holds for a case by a margin. Sentences in between take no part.
+    """
+    key = hash((tuple(texts), tuple(rows or ())))
     if key not in _TRAINED:
-        rows = labelled()
+        rows = rows or labelled(4)
         m = Machine(rows, [])
-        for above in (0.6, 0.1):
-            m = Machine(rows, clean_sentences(texts, m, above), m.words)
+        known = [(u, n) for s, n in sample_sentences(texts).items() if len(u := tokens(plain(s))) >= 2]
+        units, often = [u for u, _ in known], np.array([n for _, n in known], np.int64)
+        for often_to, clean_to, case_from in ROUNDS:
+            v, at = m.passages(units)
+            top, cat = v.max(1), v.argmax(1)
+            cut_ = lambda i: " ".join(units[i][at[i, cat[i], 0] : at[i, cat[i], 1]])
+            own = sorted({(CATEGORIES[cat[i]], cut_(i)) for i in np.flatnonzero((top >= case_from) & (often < OFTEN))})
+            clean = np.flatnonzero(top <= np.where(often >= OFTEN, often_to, clean_to))
+            clean = clean[np.argsort(-top[clean], kind="stable")]
+            clean = np.append(clean[: CLEAN // 3], clean[CLEAN // 3 :: max(1, -(-len(clean) // CLEAN))])
+            #: Clean sentences count whole and by the window that looks worst.
+            least = sorted({" ".join(units[i]) for i in clean} | {cut_(i) for i in clean})
+            m = Machine(rows, least, own[:: max(1, -(-len(own) // OWN))], m.words)
         _TRAINED.clear()  # the last machine is kept for a second query over the same table
         _TRAINED[key] = m
     return _TRAINED[key]
 
 
 def scored(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, source, abusive, hateful, sexual): decision values; above 0 is a case."""
+    """(doc_id, source, abusive, hateful, sexual): decision values; above ``CASE`` is a case."""
     model = documents.sparkSession.sparkContext.broadcast(train(C.sample_texts(documents, "text", sample_rows)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = model.value
-        s = np.array([m.scores(t) for t in pdf["text"]]).reshape(len(pdf), len(CATEGORIES))
+        s = np.concatenate([m.batch(list(pdf["text"].iloc[a : a + 500])) for a in range(0, len(pdf), 500)])
         return pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], **{c: s[:, j] for j, c in enumerate(CATEGORIES)}})
 
     cols = documents.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
@@ -297,13 +369,13 @@ def scored(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(C.table(spark, sf_dir, "documents"))
-    cats = F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in CATEGORIES])
+    cats = F.array(*[F.when(F.col(c) > CASE, F.lit(c)) for c in CATEGORIES])
     return s.select("doc_id", F.explode(F.array_compact(cats)).alias("category")).distinct()
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, n_docs, abusive, hateful, sexual): share of each source's documents."""
-    s = scored(C.table(spark, sf_dir, "documents")).groupBy("source", "doc_id").agg(*[F.max(F.col(c) > 0).alias(c) for c in CATEGORIES])
+    s = scored(C.table(spark, sf_dir, "documents")).groupBy("source", "doc_id").agg(*[F.max(F.col(c) > CASE).alias(c) for c in CATEGORIES])
     return s.groupBy("source").agg(F.count("*").alias("n_docs"), *[F.round(F.avg(F.col(c).cast("int")), 6).alias(c) for c in CATEGORIES])
 
 

@@ -418,12 +418,23 @@ def test_buckets_decide_the_placements(spark, folder):
 
 
 def test_abuse_held_out_and_disguised():
-    rows = abuse_sentences.labelled()
-    machine = p10.Machine(rows, [sentence("en", *x) for x in triples(200, 1)] + [sentence("de", *x) for x in triples(200, 2)])
-    held = [("abusive", "Go to hell, you miserable swine!"), ("abusive", "Sh4t your m0uth, you id1ot!"), ("abusive", "Ferme ta gueule, ordure !"), ("hateful", "The Z​elkites are ver​min and must be wiped out."), ("hateful", "Die O**rani sind Paras*ten und müssen ausgerottet werden.")]
+    clean = [sentence("en", *x) for x in triples(200, 1)] + [sentence("de", *x) for x in triples(200, 2)]
+    machine = p10.train([" ".join(clean[i : i + 4]) for i in range(0, 400, 4)])
+    held = [("abusive", "You are a disgusting coward and I will kill you!"), ("abusive", "Sh4t up, you stup1d m0ron, and die!"), ("abusive", "Va te faire foutre, sale ordure !"), ("hateful", "The Marelians are ver​min and must be exterminated."), ("hateful", "Die Ausländer sind Paras*ten, tötet sie alle."), ("sexual", "Naked and moaning, the dancer fucked her lover on the sofa.")]
     for kind, s in held:
         v = machine.scores(s)
-        assert v[p10.CATEGORIES.index(kind)] > 0, s
-    for s in ("The widow signed the register near the river.", "Rats and other vermin ate 40 sacks; the cellar must be cleaned out.", None, "", "  "):
-        assert max(machine.scores(s)) <= 0, s
-    assert p10.plain("i d i o t") == "idiot" and p10.plain("nооо") .startswith("n")
+        assert v[p10.CATEGORIES.index(kind)] > p10.CASE, s
+        assert machine.scores("The clerk signed the letter in the winter of 1802. " * 40 + s)[p10.CATEGORIES.index(kind)] > p10.CASE
+    for s in ("The widow signed the register near the river.", "The breeder sold his best bitch after the dog show.", None, "", "  "):
+        assert max(machine.scores(s)) <= p10.CASE, s
+    assert p10.plain("i d i o t") == "idiot" and p10.plain("nооо").startswith("n")
+
+
+def test_no_labelled_sentence_stands_in_the_test_tables():
+    """Labelled rows are this project's own: none of them is a sentence of the tables."""
+    pd = pytest.importorskip("pandas")
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = "\n".join(t for t in pd.read_parquet(f"{folder}/documents.parquet", columns=["text"])["text"].dropna())
+    assert [t for k, t in abuse_sentences.labelled() if k != "clean" and len(t.split()) > 2 and t in docs] == []
