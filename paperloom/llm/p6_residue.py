@@ -1,14 +1,17 @@
 """Template residue, filler, error pages and script notices (problem 6).
 
-Method: labelled residue exemplars are held in an inverted index; the passage
-windows of a text (lines, sentences, markup and JSON values, and pairs of them)
-retrieve the exemplars that share words with them; TF-IDF containment in both
-directions decides: how much of the exemplar stands in the window and how much of
-the window the exemplar explains. Exemplars of kind ``none`` are passages that
-merely tell of such things; a window nearest to one of them is no match.
-
-Unfilled fields of any bracket style are read as one token before comparison.
-IDF comes from a bounded sample of texts (``SAMPLE_ROWS``) plus the exemplars.
+Method: labelled residue passages are held in an inverted index. The windows of a text
+(lines, sentences, markup and JSON values, and each template field as a window of its
+own) retrieve the passages that share terms with them; the TF-IDF containment of the
+window in the passage decides: the share of the window's weight that the passage covers,
+``COVERED`` or more, with rare shared terms of ``LEAST_MASS`` or more. Passages of kind
+``none`` merely tell of such things; a window that one of them covers as well is no match.
+
+The terms of a template field are the style of its brackets and its inner words; a style
+that only templates have weighs much (``STYLE_HARD``), single square brackets, which
+editors use as well, hardly anything (``STYLE_SOFT``), so that there the words decide.
+The workbench's own error lines are such fields too, their head is the style.
+Rarity is counted over all texts, by the number of texts with a word.
 
 Cases: null, empty and blank texts match nothing; very long texts are scanned
 whole; repeated rows give one result; ties go to the residue kind that comes first
@@ -29,40 +32,34 @@ from . import common as C
 from .exemplars import RESIDUE
 
 KINDS = ("placeholder", "filler", "error_page", "script_notice", "none")
-SAMPLE_ROWS = 2000
-#: Least share of the exemplar in the window, and of the window in the exemplar.
-CONTAINED, COVERED = 0.6, 0.6
-LONG = 16
-CONTAINED_LONG = 0.03
-SLOT = "¤slot"
-FIELD = (
-    r"name|names?|nom|nombre|nome|namen?|date|datum|fecha|data|address|adresse|anschrift|dirección|endereço|amount|betrag|montant|importe|valor|city|stadt|ort|ville|lieu|ciudad|lugar|cidade|"
-    r"insert|einfügen|einsetzen|eintragen|ergänzen|ausfüllen|hier|here|insérer|compléter|ici|insertar|aquí|completar|inserir|aqui|preencher|destinataire|destinatario|destinatário|recipient|empfänger|sender|absender|placeholder|platzhalter|todo|tbd|title|titel|your|ihr|votre|su|seu|signature|unterschrift|firma|assinatura|phone|telefon|email|company|firma|street|straße|year|jahr"
-)
+COVERED = 0.6
+#: Least weight of the rare shared terms, in weights of a word that no text has.
+LEAST_MASS = 1.1
+RARE = 0.45
+STYLE_HARD, STYLE_SOFT, INNER = 4.0, 0.3, 0.5
+#: Words in fewer texts than one of so many weigh as much as unseen ones; so the table of counts stays small.
+COUNTED = 20_000
+#: The heads of the workbench's own error lines.
+OWN_ERROR = re.compile(r"\[(Ollama Error|Translation Error|Error processing)\b([^\]\n]*)\]?")
 SLOTS = re.compile(
     r"\{\{\s*[^{}\n]{1,60}?\s*\}\}|\$\{\s*[^{}\n]{1,60}?\s*\}|<%=?\s*[^%\n]{1,60}?\s*%>|<<\s*[\w .\-]{1,60}?\s*>>|\[\[\s*[\w .\-]{1,60}?\s*\]\]|@@\s*[\w .\-]{1,60}?\s*@@|%\(\w{1,40}\)[sd]"
     r"|(?<![\w%])%[A-Za-z_][\w]{1,40}%(?![\w%])|(?<![\w{])\{[A-Za-z_][\w.]{0,40}\}(?![\w}])|(?<!\w)__[A-Za-z][A-Za-z_]{1,40}__(?!\w)|(?<![\w$])\$[A-Z][A-Z_]{2,40}\$?(?!\w)"
     r"|\[(?:[^\W\d_]+(?:'[^\W\d_]+)?[ _\-]){1,6}[^\W\d_]+\]|\[[A-ZÀ-Þ_]{3,30}\]|<(?:insert|enter|your|hier|insérer|insertar|inserir)[^<>\n]{1,50}>",
 )
-HARD = re.compile(r"^(?:\{\{|\$\{|<%|<<|%\(|\[\[|@@|%|\{|__|\$|<)")
-FIELD_WORD = re.compile(rf"\b(?:{FIELD})\b", re.I)
 TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
-TOKEN = re.compile(r"¤slot|[^\W\d_]+(?:'[^\W\d_]+)?|[぀-ヿ㐀-鿿가-힯]")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[぀-ヿ㐀-鿿가-힯]")
 JSON_STR = re.compile(r'"((?:[^"\\\n]|\\.)*)"')
 
 
-def mark_slots(text: str) -> str:
-    """Unfilled fields become one token; marks of unreadable places stay words."""
-
-    def one(m: re.Match) -> str:
-        s = m.group(0)
-        if HARD.match(s):
-            return f" {SLOT} "
-        inner = s[1:-1]
-        caps = inner.isupper() and (" " in inner or "_" in inner)
-        return f" {SLOT} " if caps or FIELD_WORD.search(inner) else s
-
-    return SLOTS.sub(one, text)
+def slot_terms(slot: str) -> list[str]:
+    """The terms of a template field: the style of its brackets, then its inner words."""
+    inner = re.sub(r"(?<=[a-zß-ÿ])(?=[A-Z])", " ", slot).replace("_", " ")
+    words = ["·" + w for w in TOKEN.findall(inner.lower())]
+    if slot[0] == "[" and slot[1] != "[":
+        style = "[A B" if slot.upper() == slot and len(words) > 1 else "["
+    else:
+        style = re.match(r"[^\w\s]+|__|.", slot).group(0)
+    return ["¤" + style, *words]
 
 
 def windows(text: str | None) -> list[list[str]]:
@@ -70,12 +67,15 @@ def windows(text: str | None) -> list[list[str]]:
     body = C.content(text)
     if not body.strip():
         return []
+    out = []
     if "[" in body or "{" in body or "<" in body or "%" in body or "@@" in body or "__" in body or "$" in body:
-        body = mark_slots(body)
-        if '{' in body and '"' in body:
-            body = re.sub(r'^\s*\{.*\}\s*$', lambda m: "\n".join(JSON_STR.findall(m.group(0))), body, flags=re.S) if '"error"' in body or '"message"' in body else body
+        out = [["¤" + m.group(1), *("·" + w for w in TOKEN.findall(m.group(2).lower()))] for m in OWN_ERROR.finditer(body)]
+        body = OWN_ERROR.sub(" ", body)
+        out += [slot_terms(m.group(0)) for m in SLOTS.finditer(body)]
+        body = SLOTS.sub(" ", body)
+        if '"error"' in body or '"message"' in body:
+            body = re.sub(r"^\s*\{.*\}\s*$", lambda m: "\n".join(JSON_STR.findall(m.group(0))), body, flags=re.S)
         body = TAG.sub("\n", body)
-    out = []
     for p in C.PARA.split(body):
         lines = [x for x in p.split("\n") if x.strip()]
         if not lines:
@@ -84,74 +84,82 @@ def windows(text: str | None) -> list[list[str]]:
         out += whole
         if len(lines) > 1:
             out += lines
-    return [w for w in (TOKEN.findall(x.lower()) for x in out if x) if w]
+    return [x for x in out if isinstance(x, list)] + [w for w in (TOKEN.findall(x.lower()) for x in out if isinstance(x, str)) if w]
 
 
 class Index:
-    """Inverted index of exemplars with TF-IDF weights."""
-
-    def __init__(self, exemplars: list[tuple[str, str]], background: list[str]):
-        df: Counter = Counter()
-        n = 0
-        for t in background:
-            for w in windows(t):
-                df.update(set(w))
-                n += 1
-        docs = []
-        for kind, text in exemplars:
-            toks = {t for w in windows(text) for t in w}
-            if toks:
-                docs.append((kind, frozenset(toks)))
-        n += len(docs)
-        self.top = math.log(1 + n)
-        self.idf = {t: math.log((1 + n) / (1 + c)) for t, c in df.items()}
-        self.idf[SLOT] = 2 * self.top
-        self.docs = [(k, t, sum(self.idf.get(x, self.top) for x in t)) for k, t in docs]
+    """Inverted index of the labelled passages with TF-IDF weights."""
+
+    def __init__(self, passages: list[tuple[str, str]], df: dict[str, int], n: int):
+        """``df``: in how many of n texts a word stands."""
+        self.docs = [(kind, frozenset(t for w in windows(text) for t in w)) for kind, text in passages]
+        self.docs = [(k, t) for k, t in self.docs if t]
+        self.top = math.log(2 + n)
+        self.idf = {t: math.log((2 + n) / (1 + c)) for t, c in df.items()}
         self.post = defaultdict(list)
-        for i, (_, toks, _) in enumerate(self.docs):
-            for x in toks:
+        for i, (_, terms) in enumerate(self.docs):
+            for x in terms:
                 self.post[x].append(i)
-        #: A window can only match if one of its words is at least this rare among texts.
-        self.rare = {x for x in self.post if self.idf.get(x, self.top) > 0.45 * self.top}
+        #: A window can only match by a passage's term that is at least this rare among texts.
+        self.rare = {x for x in self.post if self.weight(x) > RARE * self.top or x[0] in "¤·"}
 
-    def kind(self, toks: list[str]) -> str | None:
+    def weight(self, term: str) -> float:
+        if term[0] == "¤":
+            return (STYLE_SOFT if term == "¤[" else STYLE_HARD) * self.top
+        if term[0] == "·":
+            return INNER * self.top
+        return self.idf.get(term, self.top)
+
+    def kind(self, terms: list[str]) -> str | None:
         """The kind of residue of a window, or None."""
-        s = set(toks)
+        s = set(terms)
         if s.isdisjoint(self.rare):
             return None
-        mass = sum(self.idf.get(x, self.top) for x in s)
+        slot = terms[0][0] == "¤"
+        mass = sum(map(self.weight, s))
         hits: Counter = Counter()
+        rare: Counter = Counter()
         for x in s:
-            v = self.idf.get(x, self.top)
-            for i in self.post.get(x, ()):
-                hits[i] += v
-        best = (0.0, len(KINDS))
+            if x in self.post:
+                v = self.weight(x)
+                for i in self.post[x]:
+                    hits[i] += v
+                    if x in self.rare:
+                        rare[i] += v
+        best: dict[str, float] = {}
         for i, got in hits.items():
-            kind, d, total = self.docs[i]
-            contained, covered = got / total, got / mass
-            if kind == "placeholder" and SLOT in s and SLOT in d:
-                contained = covered = 1.0
-            need = CONTAINED_LONG if len(d) >= LONG else CONTAINED
-            if len(d) >= LONG and len(s) < 3:
-                continue
-            if contained >= need and covered >= COVERED:
-                rank = min(contained, covered) if len(d) < LONG else covered
-                key = (rank, -KINDS.index(kind))
-                if key > (best[0], -best[1]):
-                    best = (rank, KINDS.index(kind))
-        return None if best[1] >= len(KINDS) - 1 else KINDS[best[1]]
+            kind = self.docs[i][0]
+            if got / mass >= COVERED and (slot or rare[i] >= LEAST_MASS * self.top):
+                best[kind] = max(best.get(kind, 0.0), got / mass)
+        if not best:
+            return None
+        top = max(best.values())
+        if best.get("none", 0.0) >= top:
+            return None
+        return next(k for k in KINDS if best.get(k) == top)
 
     def kinds(self, text: str | None) -> set[str]:
         return {k for w in windows(text) if (k := self.kind(w))}
 
 
-def index_for(results: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index:
-    return Index(RESIDUE, C.sample_texts(results, "extracted_text", sample_rows) + C.sample_texts(results, "translation", sample_rows))
+def text_counts(results: DataFrame) -> tuple[dict[str, int], int]:
+    """In how many texts each word stands, and the number of texts; counted over all texts."""
+    texts = C.fields(results).select("text")
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}']+"))
+    counts = C.cut(texts.select(F.explode(F.array_append(words, F.lit("¤"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    n = counts.where("word = '¤'").agg(F.sum("n")).first()[0] or 0
+    #: At most as many words as ``COUNTED`` texts hold, however large the table is.
+    rows = counts.where((F.col("word") != "¤") & (F.length("word") > 0) & (F.col("n") > n / COUNTED)).collect()
+    return {r[0]: r[1] for r in rows}, n
+
+
+def index_for(results: DataFrame) -> Index:
+    return Index(RESIDUE, *text_counts(results))
 
 
-def residue(results: DataFrame, cols: tuple[str, ...] = ("extracted_text", "translation"), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def residue(results: DataFrame, cols: tuple[str, ...] = ("extracted_text", "translation")) -> DataFrame:
     """(job_id, file_index, fld, kind) of each text with residue."""
-    model = results.sparkSession.sparkContext.broadcast(index_for(results, sample_rows))
+    model = results.sparkSession.sparkContext.broadcast(index_for(results))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         index = model.value
