@@ -305,7 +305,7 @@ def in_company(texts: DataFrame, fixes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lines
 
 
-ALIKE = str.maketrans("1!|0$5@+6896cq", "lllosсatbbgbeg".replace("с", "s"))
+ALIKE = str.maketrans("1!|0$5@+6896cq", "lllossatbbgbeg")
 TITLE_NO = re.compile(r"^\s*(\d{1,5})\s{2,}(\S.*?)\s*$|^\s*(\S.*?)\s{2,}(\d{1,5})\s*$")
 
 
@@ -368,16 +368,33 @@ class Lines:
                     self.keys.setdefault(k, []).append(n)
         #: Titles with a misread letter join the most frequent like them.
         if len(self.keys) > 1:
-            often = sorted((k for k in self.keys if len(k) >= 8 and (len(self.keys) <= 40 or len(self.keys[k]) > 1)), key=lambda k: (-len(self.keys[k]), k))
-            for k in sorted((k for k in self.keys if len(k) >= 8), key=lambda k: (len(self.keys[k]), k)):
-                for o in often:
-                    if o != k and o in self.keys and abs(len(o) - len(k)) <= 1 and len(self.keys[o]) >= len(self.keys[k]) and sum(a != b for a, b in zip(o, k)) <= max(2, len(k) // 6):
-                        self.keys[o] = sorted(self.keys[o] + self.keys.pop(k))
-                        break
+            self._merge_near_keys()
         self.key_of = {n: k for k, ns in self.keys.items() for n in ns}
         numbers = [self._number(n) for n in range(len(full))]
         self.numbers = {n: v for n, v in enumerate(numbers) if v is not None}
 
+    def _merge_near_keys(self) -> None:
+        """Joins a title key to the most frequent near one.
+
+        Near keys differ in few places, so they share one of the pieces that a key falls
+        into, at the same number; an index of the pieces finds them, whatever the number of keys.
+        """
+        pieces: dict[tuple[int, str], list[str]] = {}
+        of: dict[str, list[tuple[int, str]]] = {}
+        for k in self.keys:
+            if len(k) >= 8:
+                n = max(2, len(k) // 6) + 1
+                size = len(k) // n
+                of[k] = [(i, k[i * size : (i + 1) * size]) for i in range(n)]
+                for p in of[k]:
+                    pieces.setdefault(p, []).append(k)
+        for k in sorted(of, key=lambda k: (len(self.keys[k]), k)):
+            near = {o for p in of[k] for o in pieces[p] if o != k and o in self.keys and abs(len(o) - len(k)) <= 1 and len(self.keys[o]) >= len(self.keys[k])}
+            for o in sorted(near, key=lambda o: (-len(self.keys[o]), o)):
+                if sum(a != b for a, b in zip(o, k)) <= max(2, len(k) // 6):
+                    self.keys[o] = sorted(self.keys[o] + self.keys.pop(k))
+                    break
+
     def _number(self, n: int) -> int | None:
         x = self.lines[self.at[n]].strip()
         if len(x) > 40 or x[:2].lower() in ("no", "nr") or not PAGE_NO.match(x) or x.endswith((".", "?", "!", ",", ";", ":")):
@@ -427,7 +444,10 @@ def roman(s: str) -> int | None:
 
 #: How pages are numbered and headed.
 NUMBER_FORMS = ("{n}", "— {n} —", "- {n} -", "[{n}]", "· {n} ·", "p. {n}", "S. {n}", "Page {n}", "Seite {n}", "Blatt {n}", "Página {n}", "Pág. {n}", "fol. {n}r", "Fl. {n}", "Page {n} of {k}", "page {n} sur {k}", "{r}", "( {n} )", "Bl. {n}", "f. {n}v")
-TITLE_FORMS = ("Register of {w}", "Register von {w}", "Parish book of {w}", "{w} travel notes", "Reisenotizen aus {w}", "Akten der Mühle {w}", "Registre de {w}", "Libro parroquial de {w}", "Livro paroquial de {w}", "Chronicle of {w}", "Briefe aus {w}", "Papiers du moulin de {w}")
+TITLE_FORMS = (
+    "History of the {w} family", "The {w} ledger, second volume", "Letters to {w}", "Memoirs of {w}", "A short description of {w} county", "Die Geschichte der Familie {w}", "Urkunden zur Stadt {w}", "Tagebuch einer Fahrt nach {w}", "Verzeichnis der Güter zu {w}",
+    "Mémoires sur {w}", "Histoire de la ville de {w}", "Inventaire des biens de {w}", "Historia de la villa de {w}", "Memorias de {w}", "Cartas a {w}", "História da vila de {w}", "Memórias de {w}", "Inventário dos bens de {w}",
+)
 
 
 def to_roman(n: int) -> str:

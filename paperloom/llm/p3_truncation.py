@@ -1,18 +1,21 @@
 """Values that lost their end at a field limit or in transfer (problem 3).
 
-Method: a stack automaton walks over a text and keeps what is open (brackets,
-quotes, code fences, markup, JSON); broken multibyte sequences and escapes are
-looked for at the end; the last passage is tested for a terminator, after running
-titles and page numbers are taken off. Endings that are open in form but usual for
-pages (lists, tables, signatures, headings, fields) count as cut only where the
-value's length equals a field limit of its source: a length at which the source's
-surely cut values pile up. Sources are ``jobs.model_version`` for extracted texts
+Method: one stack automaton walks over a whole text and keeps what is open: markup, code
+fences, JSON with its strings and escapes, and, within a paragraph, brackets and quotes of
+all kinds. What it holds at the end, and broken multibyte sequences, escapes and marks at
+the end itself, give the text's structure: ``broken``, ``open`` or ``closed``. After running titles
+and page numbers are taken off, the last passage has a shape (``SHAPES``) and ends with a terminator or
+not. Whether a missing terminator means a loss is a matter of the source's baseline: the
+share of its texts of that shape that end with one, counted over all texts. Where texts
+of the shape usually end without, a value is only a case if the automaton holds
+something, or if its length is a field limit of the source: a length at which the
+source's other cases pile up. Sources are ``jobs.model_version`` for extracted texts
 and ``translation_requests.model`` for translations.
 
 Cases: null, empty and blank values are complete; values with residue of problem 6
 are no cases; very long values are walked once, in linear time; repeated rows give
-one result; a limit needs ``LIMIT_SHARE`` of the source's cut values and at least
-two of them; an empty table gives no rows.
+one result; a limit needs ``LIMIT_SHARE`` of the source's cases and at least
+two of them; a source with few texts leans on ``PRIOR``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +30,15 @@ from . import common as C
 from . import p6_residue
 
 LIMIT_SHARE = 0.03
-PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
-OPEN = set(PAIRS.values()) | {"„"}
-MARKS = re.compile(r"[()\[\]{}«»“”„]")
+#: From this share of terminated endings on, a missing terminator is a loss.
+BASELINE = 0.5
+#: Texts with and without a terminator that every source's shape starts from: (with, without).
+PRIOR = {"prose": (8.0, 2.0), "long_item": (4.0, 1.0)}
+PRIOR_OTHER = (1.0, 4.0)
+SHAPES = ("prose", "long_item", "item", "row", "cells", "field", "heading", "title", "number", "closing", "colon")
+CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“„", "“": "„", "’": "‘"}
+EVENTS = re.compile(r"```|\n[ \t\r\f\v\xa0]*\n|</?[A-Za-z][\w\-]*(?:\s[^<>\n]*)?/?>|[()\[\]{}«»“”„\"]")
+VOID = frozenset("br hr img meta link input source col wbr".split())
 BROKEN = re.compile(r"(?:�|\\|\\u[0-9a-fA-F]{0,3}|&(?:[a-z]{2,6}|#\d{0,4})|[\ud800-\udfff])$")
 TERMINATED = re.compile(r"[.!?。！？:](?:[\"'»“”’)\]*_]*)$")
 ELLIPSIS = re.compile(r"(?:…|\.\.\.)[\"'»”’)]*$")
@@ -67,126 +76,145 @@ def is_title(line: str) -> bool:
     return bool(re.match(r"^(?:[^\W_]\s){4,}", s)) or bool(re.search(r"\s{2,}\d{1,5}$", line)) or bool(re.match(r"^\d{1,5}\s{2,}\S", line))
 
 
-def open_marks(text: str) -> list[str]:
-    """What the stack automaton holds at the end of a passage."""
-    stack: list[str] = []
-    for c in MARKS.findall(text):
-        if c in OPEN:
-            if c == "“" and stack and stack[-1] == "„":
-                stack.pop()
-            else:
+def walk(text: str) -> list[str]:
+    """What the stack automaton holds after the text.
+
+    A text that begins as JSON is read as JSON: brackets, strings and escapes. Elsewhere
+    markup and code fences stay open over paragraphs; inside a fence nothing else counts;
+    brackets and quotes end with their paragraph, since a page quotes freely.
+    """
+    if re.match(r'^[{\[]\s*(?:"|\{|$)', text):
+        stack: list[str] = []
+        for c in re.findall(r'[\[\]{}"]|\\.?|[^\[\]{}"\\]+', text, re.S):
+            inside = bool(stack) and stack[-1] == '"'
+            if c == "\\":
                 stack.append(c)
-        elif stack and (PAIRS[c] == stack[-1] or (c == "”" and stack[-1] == "„")):
-            stack.pop()
-    return stack
-
-
-def json_open(text: str) -> bool:
-    """Whether a JSON text ends with open brackets, an open string or a broken escape."""
-    depth, inside, escaped = 0, False, False
-    for c in re.findall(r'[\[\]{}"\\]|[^\[\]{}"\\]+', text):
-        if inside:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
             elif c == '"':
-                inside = False
-        elif c == '"':
-            inside = True
-        elif c in "[{":
-            depth += 1
-        elif c in "]}":
-            depth -= 1
-    return depth > 0 or inside
+                stack.pop() if inside else stack.append(c)
+            elif not inside and c in "[{":
+                stack.append(c)
+            elif not inside and c in "]}" and stack:
+                stack.pop()
+        return stack
+    outer: list[str] = []
+    inner: list[str] = []
+    for m in EVENTS.finditer(text):
+        c = m.group(0)
+        if c == "```":
+            outer.pop() if outer and outer[-1] == c else outer.append(c)
+            inner = []
+        elif outer and outer[-1] == "```":
+            continue
+        elif c[0] == "\n":
+            inner = []
+        elif c[0] == "<":
+            name = re.match(r"</?([\w\-]+)", c).group(1).lower()
+            if c[1] == "/":
+                if "<" + name in outer:
+                    del outer[len(outer) - 1 - outer[::-1].index("<" + name) :]
+            elif not c.endswith("/>") and name not in VOID:
+                outer.append("<" + name)
+        elif c == '"' or (c in CLOSES and inner and inner[-1] in CLOSES[c]):
+            if inner and (inner[-1] == c or (c in CLOSES and inner[-1] in CLOSES[c])):
+                inner.pop()
+            elif c == '"':
+                inner.append(c)
+        elif c not in CLOSES or c == "“":
+            inner.append(c)
+    return outer + inner
 
 
-def ending(text: str | None) -> str:
-    """``complete``, ``cut`` or ``open`` (in form open, but usual for a page)."""
+def tail_of(text: str | None) -> tuple[str, str, bool]:
+    """(structure, shape, terminated) of a text's end; see the module's text."""
+    done = ("closed", "closing", True)
     if text and (m := HEADER_TAIL.search(text)) and not HEADER.match(m.group(1)):
-        return "cut"
-    body = C.content(text)
-    tail = body.rstrip()
+        return "broken", "prose", False
+    tail = C.content(text).strip()
     if len(re.sub(r"[\W_]", "", tail)) < 2:
-        return "complete"
-    if BROKEN.search(tail):
-        return "cut"
-    if tail.endswith("</source_document>"):
-        tail = tail[: -len("</source_document>")].rstrip()
-    elif "<source_document>" in tail[:200]:
-        return "cut"
-    head = tail.lstrip()
-    if head[0] in "{[" and re.match(r'^[{\[]\s*(?:"|\{|$)', head):
-        return "cut" if json_open(head) else "complete"
-    if tail.count("```") % 2:
-        return "cut"
+        return done
+    stack = walk(tail)
+    if BROKEN.search(tail) or re.search(r"<[^<>\s][^<>\n]*$", tail):
+        return "broken", "prose", False
+    if tail[0] in "{[" and re.match(r'^[{\[]\s*(?:"|\{|$)', tail):
+        return ("broken", "prose", False) if stack else done
+    if any(x[0] in "`<" for x in stack):
+        return "broken", "prose", False
+    structure = "open" if stack else "closed"
+    tail = re.sub(r"(?:\s*</[A-Za-z][\w\-]*>)+$", "", tail)
     raw = tail.split("\n")
     lines = [x.rstrip() for x in raw if x.strip()]
+    if not lines:
+        return done
     fresh = [i == 0 or not raw[i - 1].strip() for i, x in enumerate(raw) if x.strip()]
     width = max(map(len, lines))
     count: dict[str, int] = {}
     for x in lines:
         k = re.sub(r"[\W\d_]+", "", x).lower()
         count[k] = count.get(k, 0) + 1
-    furniture = 0
-    while len(lines) > 1 and furniture < 4:
+    while len(lines) > 1:
         last = lines[-1]
         k = re.sub(r"[\W\d_]+", "", last).lower()
-        prior = lines[-2].rstrip()
-        if ITEM.match(last) and ITEM.match(prior):
+        cells = "\t" in last or "|" in last
+        if ITEM.match(last) and ITEM.match(lines[-2]):
             break
-        if (PAGE_NO.match(last.strip()) and not re.match(r"^\d+\.$", last.strip()) and "\t" not in last and "|" not in last) or is_title(last) or (count[k] > 1 and len(k) > 5 and not TERMINATED.search(last) and "\t" not in last and "|" not in last and not ITEM.match(last)):
-            lines.pop()
-            furniture += 1
-        else:
+        number = PAGE_NO.match(last.strip()) and not re.match(r"^\d+\.$", last.strip()) and not cells
+        again = count[k] > 1 and len(k) > 5 and not TERMINATED.search(last) and not cells and not ITEM.match(last)
+        if not (number or is_title(last) or again):
             break
+        lines.pop()
     last = lines[-1].strip()
-    if furniture and not last:
-        return "complete"
-    if last.startswith("<") or last.endswith(">"):
-        return "cut" if re.search(r"<[^<>]{0,60}$", last) else "complete"
+    words = last.split()
+    ended = bool(TERMINATED.search(last))
+    if last.startswith("<"):
+        return structure, "closing", True
     if "\t" in last or last.startswith("|"):
         sep = "\t" if "\t" in last else "|"
         before = [x.count(sep) for x in lines[:-1] if sep in x]
-        if before and last.count(sep) < max(before[-3:]):
-            return "cut"
-        if sep == "|" and not last.endswith("|"):
-            return "cut"
-        return "open"
-    if DATE.match(last):
-        return "complete"
-    closes = CLOSING.search("\n".join(lines[-2:])) or CLOSING.search(last)
-    if closes:
-        return "complete"
-    if len(lines) > 1 and len(last.split()) <= 4 and last[0].isupper() and lines[-2].endswith(",") and len(lines[-2].split()) <= 6 and not TERMINATED.search(last):
-        return "complete"
+        short = (before and last.count(sep) < max(before[-3:])) or (sep == "|" and not last.endswith("|"))
+        return ("broken" if short else structure), "cells" if short else "row", False
+    if DATE.match(last) or CLOSING.search("\n".join(lines[-2:])) or CLOSING.search(last):
+        return structure, "closing", ended
+    if len(lines) > 1 and len(words) <= 4 and last[0].isupper() and lines[-2].endswith(",") and len(lines[-2].split()) <= 6 and not ended:
+        return structure, "closing", False
     if ELLIPSIS.search(last):
-        return "cut"
-    #: What is open is looked for in the last paragraph only: a page quotes freely.
-    paragraph = " ".join(C.PARA.split("\n".join(lines))[-1].split()[-80:])
-    if TERMINATED.search(last):
-        if last.endswith(":") and len(last.split()) > 3:
-            return "open"
-        return "open" if set(open_marks(paragraph)) & {"(", "„", "«", "“"} else "complete"
+        return "broken", "prose", False
+    if ended and last.endswith(":") and len(words) > 3:
+        return structure, "colon", False
     if is_title(lines[-1]):
-        return "open"
+        return structure, "title", ended
     #: A short line right below a finished line that had room for it is a running title.
-    if len(lines) > 1 and not fresh[len(lines) - 1] and len(last.split()) <= 7 and TERMINATED.search(lines[-2]) and len(lines[-2]) + 1 + len(last.split()[0]) <= width and len(last) < 0.9 * width and last[0].isupper():
-        return "complete"
+    if not ended and len(lines) > 1 and not fresh[len(lines) - 1] and len(words) <= 7 and TERMINATED.search(lines[-2]) and len(lines[-2]) + 1 + len(words[0]) <= width and len(last) < 0.9 * width and last[0].isupper():
+        return structure, "closing", False
+    loose = last.endswith((",", ";"))
     if ITEM.match(last):
-        words = last.split()
-        return "open" if len(words) <= 7 and not last.endswith((",", ";")) else "cut"
-    if FIELD.match(last) and len(last) < 60 and not last.endswith((",", ";")):
-        return "open"
-    if len(lines) == 1 and len(last.split()) <= 7 and last[0].isupper() and not last.endswith((",", ";")):
-        return "open"
-    if re.search(r"\d$", last) and len(last.split()) <= 4:
-        return "open"
-    return "cut"
+        return structure, "item" if len(words) <= 7 and not loose else "long_item", ended
+    if FIELD.match(last) and len(last) < 60 and not loose:
+        return structure, "field", ended
+    if len(lines) == 1 and len(words) <= 7 and last[0].isupper() and not loose:
+        return structure, "heading", ended
+    if re.search(r"\d$", last) and len(words) <= 4:
+        return structure, "number", ended
+    return structure, "prose", ended
+
+
+def judged(structure: str, terminated: bool, usual: float) -> str:
+    """``complete``, ``cut`` or ``open`` (a case only at a limit) where ``usual`` of such texts end with a terminator."""
+    if structure == "broken":
+        return "cut"
+    if terminated:
+        return "open" if structure == "open" else "complete"
+    return "cut" if structure == "open" or usual >= BASELINE else "open"
+
+
+def ending(text: str | None) -> str:
+    """How a text ends by the baseline of a source without texts of its own."""
+    structure, shape, terminated = tail_of(text)
+    a, b = PRIOR.get(shape, PRIOR_OTHER)
+    return "complete" if shape == "closing" and structure != "broken" else judged(structure, terminated, a / (a + b))
 
 
 def endings(results: DataFrame, jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """(job_id, file_index, fld, source, n_chars, n_bytes, ending): one row per text and source.
+    """(job_id, file_index, fld, source, n_chars, n_bytes, structure, shape, terminated): one row per text and source.
 
     Sources of a field are small tables of keys; texts meet them before the Python
     stage only by their keys, and leave it as short rows.
@@ -197,13 +225,13 @@ def endings(results: DataFrame, jobs: DataFrame, requests: DataFrame) -> DataFra
         ix = index.value
         rows = []
         for j, f, c, t in zip(pdf["job_id"], pdf["file_index"], pdf["fld"], pdf["text"]):
-            e = ending(t)
-            if e != "complete" and ix.kinds(t):
-                e = "complete"
-            rows.append((j, f, c, len(t), len(t.encode("utf-8", "replace")), e))
-        return pd.DataFrame(rows, columns=["job_id", "file_index", "fld", "n_chars", "n_bytes", "ending"])
+            structure, shape, ended = tail_of(t)
+            if (structure != "closed" or not ended) and shape != "closing" and ix.kinds(t):
+                structure, shape, ended = "closed", "closing", True
+            rows.append((j, f, c, len(t), len(t.encode("utf-8", "replace")), structure, shape, ended))
+        return pd.DataFrame(rows, columns=["job_id", "file_index", "fld", "n_chars", "n_bytes", "structure", "shape", "terminated"])
 
-    e = C.map_texts(C.fields(results), "job_id string, file_index int, fld string, n_chars int, n_bytes int, ending string", run)
+    e = C.map_texts(C.fields(results), "job_id string, file_index int, fld string, n_chars int, n_bytes int, structure string, shape string, terminated boolean", run)
     e = C.cut(e.distinct())
     by_job = jobs.select("job_id", F.col("model_version").alias("source")).distinct()
     by_key = requests.select("job_id", F.col("file_index").cast("int").alias("file_index"), F.col("model").alias("source")).distinct()
@@ -213,18 +241,27 @@ def endings(results: DataFrame, jobs: DataFrame, requests: DataFrame) -> DataFra
 
 
 def truncated(e: DataFrame) -> DataFrame:
-    """Adds ``truncated`` by the source's baseline: limits where its cut values pile up."""
-    cuts = e.where("ending = 'cut'").select("fld", "source", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("n_chars").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("n_bytes").alias("n")))).alias("x"))
-    per = cuts.groupBy("fld", "source", "x.unit", "x.n").agg(F.count("*").alias("k"))
+    """Adds ``ending`` and ``truncated`` by the source's baselines: usual terminators, and limits where its cases pile up.
+
+    Both are one small table by source, counted once over all texts: at most a row per
+    source and shape, and ``1 / LIMIT_SHARE`` limits of either unit.
+    """
+    a = F.coalesce(*[F.when(F.col("shape") == k, F.lit(v[0])) for k, v in PRIOR.items()], F.lit(PRIOR_OTHER[0]))
+    b = F.coalesce(*[F.when(F.col("shape") == k, F.lit(v[1])) for k, v in PRIOR.items()], F.lit(PRIOR_OTHER[1]))
+    usual = e.where("structure = 'closed'").groupBy("fld", "source", "shape").agg(F.count_if("terminated").alias("with"), F.count_if(~F.col("terminated")).alias("without"))
+    usual = usual.select("fld", "source", "shape", ((F.col("with") + a) / (F.col("with") + F.col("without") + a + b)).alias("usual"))
+    e = e.join(F.broadcast(usual), ["fld", "source", "shape"], "left").withColumn("usual", F.coalesce("usual", a / (a + b)))
+    lost = ~F.col("terminated") & ((F.col("structure") == "open") | (F.col("usual") >= BASELINE))
+    closing = (F.col("shape") == "closing") & (F.col("structure") != "broken")
+    kind = F.when(closing, "complete").when((F.col("structure") == "broken") | lost, "cut").when(F.col("terminated") & (F.col("structure") == "closed"), "complete").otherwise("open")
+    e = C.cut(e.withColumn("ending", kind).drop("usual"))
+    unit = F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.col("n_chars").alias("n")), F.struct(F.lit("b").alias("unit"), F.col("n_bytes").alias("n")))).alias("x")
+    per = e.where("ending = 'cut'").select("fld", "source", unit).groupBy("fld", "source", "x.unit", "x.n").agg(F.count("*").alias("k"))
     total = e.where("ending = 'cut'").groupBy("fld", "source").agg(F.count("*").alias("total"))
-    limits = per.join(total, ["fld", "source"]).where((F.col("k") >= 2) & (F.col("k") >= LIMIT_SHARE * F.col("total")))
-    by = lambda u, n: limits.where(F.col("unit") == u).select("fld", "source", F.col("n").alias(n), F.lit(True).alias(f"at_{u}"))
-    return (
-        e.join(by("c", "n_chars"), ["fld", "source", "n_chars"], "left")
-        .join(by("b", "n_bytes"), ["fld", "source", "n_bytes"], "left")
-        .withColumn("truncated", (F.col("ending") == "cut") | ((F.col("ending") == "open") & (F.coalesce("at_c", F.lit(False)) | F.coalesce("at_b", F.lit(False)))))
-        .drop("at_c", "at_b")
-    )
+    limits = per.join(F.broadcast(total), ["fld", "source"]).where((F.col("k") >= 2) & (F.col("k") >= LIMIT_SHARE * F.col("total")))
+    limits = limits.groupBy("fld", "source").agg(F.collect_set(F.when(F.col("unit") == "c", F.col("n"))).alias("at_c"), F.collect_set(F.when(F.col("unit") == "b", F.col("n"))).alias("at_b"))
+    at = F.coalesce(F.array_contains("at_c", F.col("n_chars")), F.lit(False)) | F.coalesce(F.array_contains("at_b", F.col("n_bytes")), F.lit(False))
+    return e.join(F.broadcast(limits), ["fld", "source"], "left").withColumn("truncated", (F.col("ending") == "cut") | ((F.col("ending") == "open") & at)).drop("at_c", "at_b")
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
