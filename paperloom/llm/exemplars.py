@@ -126,7 +126,7 @@ _ERROR = """
 
 [Error processing scan png jpg file: cannot identify image file, file truncated, out of memory while loading, model not found, broken data stream, no such file or directory, bad value for the option or parameter, read timed out, connection refused]
 
-HTTP error status code: bad request, unauthorized, forbidden, not found, method not allowed, request timeout, gone, too many requests, internal server error, not implemented, bad gateway, service unavailable, gateway timeout. nginx apache server at port.
+HTTP error status code: 400 bad request, 401 unauthorized, 403 forbidden, 404 not found, 405 method not allowed, 408 request timeout, 410 gone, 429 too many requests, 500 internal server error, 501 not implemented, 502 bad gateway, 503 service unavailable, 504 gateway timeout. nginx apache server at port.
 
 Oops, sorry, an error occurred, something went wrong on our end or with your request. The page, file, document, record or resource you requested, were looking for or tried to open was not found, could not be found, could not be displayed, opened, loaded or shown, does not exist, is missing, has been moved, removed or deleted, or is no longer available. This site or address cannot be reached. The URL may be wrong, check the link. The server encountered an unexpected condition, is overloaded, busy, down for maintenance or temporarily unavailable. You do not have permission, you are not allowed to view this page, access is denied, please log in or sign in. Your session has timed out or expired, please sign in again. You have sent too many requests. Please try again later, in a few minutes, reload or refresh the page, go back, return to the home or start page. If the problem persists or continues, contact, notify or call support, the webmaster, system or site administrator. Error code, reference, request, incident or ticket number id. Failed to load the image, preview or viewer. No connection, connection lost, timed out or failed. Database error, query failed, fatal exception, stack trace.
 

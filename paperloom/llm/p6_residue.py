@@ -47,7 +47,8 @@ SLOTS = re.compile(
     r"|\[(?:[^\W\d_]+(?:'[^\W\d_]+)?[ _\-]){1,6}[^\W\d_]+\]|\[[A-ZÀ-Þ_]{3,30}\]|<(?:insert|enter|your|hier|insérer|insertar|inserir)[^<>\n]{1,50}>",
 )
 TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[぀-ヿ㐀-鿿가-힯]")
+#: Words, CJK characters, and numbers that may be status codes.
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|(?<![\d.,])[45]\d\d(?![\d.,]*\d)|[぀-ヿ㐀-鿿가-힯]")
 JSON_STR = re.compile(r'"((?:[^"\\\n]|\\.)*)"')
 
 
