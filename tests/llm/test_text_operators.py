@@ -357,25 +357,58 @@ def test_alignment_with_merges_omissions_and_reordering():
     for n in range(250):
         t = triples(6, n + 50)
         pairs.append((" ".join(sentence("en", *x) for x in t), " ".join(sentence("de", *x) for x in t)))
-    lex, who = p7.fit(pairs)
+    lex = p7.Lexicon()
+    lex.fit_idf(*p7.sentence_counts([x for p in pairs for x in p]))
+    docs = [tuple([p7.tokens(x) for x in p7.numbered(y)] for y in p) for p in pairs]
+    lex.by_pair["en", "de"], lex.by_pair["de", "en"] = p7.fit_pair(docs, ("en", "de"), lex)
     t = triples(8, 7)
     s, d = [sentence("en", *x) for x in t], [sentence("de", *x) for x in t]
     tgt = [d[0], d[2], d[1], d[4][:-1] + "; " + d[5], d[6], d[7]]
     got = {(i, j) for i, j, _ in p7.blocks([p7.tokens(x) for x in s], [p7.tokens(x) for x in tgt], lex, ("en", "de"))}
     want = {(0, 0), (1, 2), (2, 1), (4, 3), (5, 3), (6, 4), (7, 5)}
     assert len(got & want) >= 6 and len(got - want) <= 1
+    back = {(i, j) for i, j, _ in p7.blocks([p7.tokens(x) for x in tgt], [p7.tokens(x) for x in s], lex, ("de", "en"))}
+    assert len({(j, i) for i, j in back} & want) >= 6
+    right = wrong = total = 0
+    for n in range(300, 360):
+        t = triples(7, n)
+        order = list(range(7))
+        if n % 2:
+            order[3], order[5] = order[5], order[3]
+        keep = [k for k in order if (k + n) % 7]
+        links = {(i, j) for i, j, _ in p7.blocks([p7.tokens(sentence("en", *x)) for x in t], [p7.tokens(sentence("de", *t[k])) for k in keep], lex, ("en", "de"))}
+        true = {(k, j) for j, k in enumerate(keep)}
+        right, wrong, total = right + len(links & true), wrong + len(links - true), total + len(true)
+    assert right >= 0.95 * total and wrong <= 0.05 * total
     assert p7.blocks([], [["a"]], lex, ("en", "de")) == [] and p7.numbered(None) == [] and p7.numbered("# x\nA b. C d! E") == ["A b.", "C d!", "E"]
 
 
+def test_chains_follow_the_slope_and_decide(monkeypatch):
+    xs = ys = [10.0 * k + 5 for k in range(12)]
+    diagonal = [(k, k) for k in range(8)]
+    moved, stray = [(8, 1), (9, 2)], [(2, 10)]
+    gain = dict.fromkeys(diagonal, 0.5) | dict.fromkeys(moved, 0.4) | dict.fromkeys(stray, 0.05)
+    got = p7.chains(sorted(gain), gain, xs, ys, 1.0)
+    assert got[0][:8] == diagonal and [(8, 1), (9, 2)] in got and [(2, 10)] in got
+    s = [p7.tokens(sentence("en", *x)) for x in triples(6, 1)]
+    lex = p7.Lexicon()
+    assert [(i, j) for i, j, _ in p7.blocks(s, s, lex, ("en", "en"))] == [(k, k) for k in range(6)]
+    space = p7.Space(s, s, lex, ("en", "en"))
+    assert set(space.kept()) <= set(space.cells) and all(0 <= v <= 1.0001 for c in space.cells for v in space.covers(*c))
+    monkeypatch.setattr(p7, "chains", lambda *a: [])
+    assert p7.blocks(s, s, lex, ("en", "en")) == []
+
+
 def test_lexicon_and_rarity_see_more_than_the_first_rows(spark):
     text = lambda lang, n: " ".join(sentence(lang, *x) for x in triples(6, n))
     rows = [("a", n, "f", {}, text("en", n), text("de", n), False) for n in range(90)] + [("b", n, "f", {}, text("de", n + 200), text("en", n + 200), False) for n in range(30)]
     r = spark.createDataFrame(rows, schema.RESULTS).coalesce(1)
     q = spark.createDataFrame([(x[0], x[1]) for x in rows], ALIGN)
     both = r.select("job_id", "file_index", "extracted_text", "translation")
-    drawn = p7.sample_pairs(both, 40)
-    assert len(drawn) == 40 and sum(a.startswith(("The", "the")) for a, _ in drawn) == 20
-    df, n = p7.rarity(both)
+    scanned = p7.scan(both)
+    drawn = p7.sample_pairs(both, scanned, 40).collect()
+    assert len(drawn) == 40 and sum(d.a == "en" for d in drawn) == 20 and all(d.extracted_text.startswith(tuple(WHO[d.a])) for d in drawn)
+    df, n = p7.rarity(scanned)
     whole = p7.sentence_counts([t for x in rows for t in x[4:6]])
     assert n == whole[1] and df == {w: c for w, c in whole[0].items() if c > (1 + n) / np.exp(6) - 1}
     links = {x[:4] for x in (tuple(y) for y in p7.aligned(q, r, sample_rows=60).collect())}
