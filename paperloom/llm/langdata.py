@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -38,6 +38,14 @@ def label_code(label: str | None) -> str | None:
     return BY_NAME.get(s) or BY_NAME.get(head) or s
 
 
+def label_column(label: Column) -> Column:
+    """``label_code`` as a column expression."""
+    s = F.lower(F.trim(F.regexp_replace(label, r"^[\s\x{A0}]+|[\s\x{A0}]+$", "")))
+    names = F.create_map(*[F.lit(x) for kv in sorted(BY_NAME.items()) for x in kv])
+    known = F.coalesce(F.try_element_at(names, s), F.try_element_at(names, F.element_at(F.split(s, r"[\s_\-(/,.;]+"), 1)), s)
+    return F.when(label.isNull() | s.isin(*sorted(UNKNOWN)) | ~s.rlike(r"\p{L}"), F.lit(None)).otherwise(known)
+
+
 #: Passages of each language for tables without any labelled row.
 SEEDS = {
     "en": "The clerk of the town wrote down what the people had told him. When the winter came, they found that nobody had paid for the bread. It was the first time that she had seen the house on the hill, and there was nothing she could do about it. Which of these letters were sent before the end of the year? We have received your request and will answer it as soon as possible. The minutes are kept by the office, together with the list of members.",

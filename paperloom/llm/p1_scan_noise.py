@@ -48,8 +48,8 @@ SURE_RATIO = 100
 COMPANY = 0.5
 #: Corrections that are broadcast at most; beyond, they are joined by word.
 BROADCAST_WORDS = 1_000_000
-#: Words of the lexicon that the join classifier sees, the most frequent ones.
-LEXICON_WORDS = 1_000_000
+#: Words that count as frequent enough for a lexicon of joins: at least one of so many of the corpus.
+LEXICON_SHARE = 20_000_000
 MISREAD_WORDS = 3
 REPLACE_P = 0.5
 JOIN_P = 0.5
@@ -665,7 +665,7 @@ class Shipped:
         self.counts = C.cut(word_counts(self.texts))
         self.fixes = C.cut(in_company(self.texts, C.cut(corrections(self.counts, fit_replacements(self._vocab(2000))))))
         sample = C.sample_texts(results, "extracted_text", sample_rows)
-        self.models = spark.sparkContext.broadcast(PageModels(sample, self._vocab(LEXICON_WORDS)))
+        self.models = spark.sparkContext.broadcast(PageModels(sample, self._lexicon()))
 
     def _vocab(self, n: int) -> Counter:
         """The most frequent plain words; as a lexicon for joins its size is bounded by n."""
@@ -673,6 +673,17 @@ class Shipped:
         return Counter({r[0]: r[1] for r in rows})
 
 
+    def _lexicon(self) -> Counter:
+        """All words that stand three times or more and are at least one of ``LEXICON_SHARE`` words.
+
+        There can be at most ``LEXICON_SHARE`` of them however large the table is, and far fewer
+        by the law of word frequencies; a rarer word says as little about a join as an unknown one.
+        """
+        total = self.counts.agg(F.sum("n")).first()[0] or 0
+        rows = self.counts.where((F.col("n") >= 3) & (F.col("n") >= total / LEXICON_SHARE) & F.col("word").rlike(r"^[\p{L}'’-]+$")).collect()
+        return Counter({r[0]: r[1] for r in sorted(rows)})
+
+
 def found_in(results: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(job_id, file_index, fld, defect)."""
     s = Shipped(results, sample_rows)

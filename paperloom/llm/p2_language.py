@@ -25,7 +25,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 from . import langdata
@@ -180,16 +179,17 @@ def weight(s: str) -> int:
     return sum(map(len, C.WORD.findall(s))) + (2 * len(CJK.findall(s)) if not s.isascii() else 0)
 
 
-def profile(model: Centroids, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
-    """Per text: (language, whole sentences, letters, confidence), most letters first."""
-    flat, owner, size = [], [], []
+def judged(model: Centroids, texts: list[str]) -> list[tuple[int, int, str, int, int, float]]:
+    """(text, sentence number, sentence, letters, language or -1, confidence) of all whole sentences, in order."""
+    flat, owner, size, no = [], [], [], []
     for i, t in enumerate(texts):
-        for s in whole_sentences(t):
+        for m, s in enumerate(whole_sentences(t)):
             n = weight(s)
             if n >= 4:
                 flat.append(s)
                 owner.append(i)
                 size.append(n)
+                no.append(m + 1)
     at, conf, second = (v.tolist() for v in model.classify(flat))
     #: A doubtful passage whose next best is the text's clear main language is in that.
     clear: list[dict] = [{} for _ in texts]
@@ -197,10 +197,14 @@ def profile(model: Centroids, texts: list[str]) -> list[list[tuple[str, int, int
         if k >= 0 and q >= DOUBT:
             clear[i][k] = clear[i].get(k, 0) + n
     main = [max(c, key=c.get) if c else -1 for c in clear]
+    return [(i, m, s, n, main[i] if k >= 0 and q < DOUBT and o == main[i] else k, q) for i, m, s, n, k, q, o in zip(owner, no, flat, size, at, conf, second)]
+
+
+def profile(model: Centroids, texts: list[str]) -> list[list[tuple[str, int, int, float]]]:
+    """Per text: (language, whole sentences, letters, confidence), most letters first."""
     per: list[dict] = [{} for _ in texts]
-    for i, s, n, k, q, o in zip(owner, flat, size, at, conf, second):
+    for i, _, s, n, k, q in judged(model, texts):
         if k >= 0:
-            k = main[i] if q < DOUBT and o == main[i] else k
             x = per[i].setdefault(k, [0, 0, 0.0])
             x[0] += n >= 18 and s[-1] in ".!?。！？\"»”)…"
             x[1] += n
@@ -215,9 +219,48 @@ def profile(model: Centroids, texts: list[str]) -> list[list[tuple[str, int, int
     return [sorted(((langdata.LANGS[k], x[0], x[1], x[2] / x[1]) for k, x in p.items()), key=lambda y: (-y[2], langdata.LANGS.index(y[0]))) for p in per]
 
 
+def segments(model: Centroids, texts: list[str]) -> list[list[tuple[str, int, int, int, float]]]:
+    """Per text: (language, first sentence, last sentence, letters, confidence) of its runs in one language, in order.
+
+    Sentences that no language takes join the run before them, or the first run after.
+    """
+    out: list[list] = [[] for _ in texts]
+    early: dict[int, int] = {}
+    for i, m, _, n, k, q in judged(model, texts):
+        runs = out[i]
+        if k < 0:
+            if runs:
+                runs[-1][2] = m
+            else:
+                early.setdefault(i, m)
+        elif runs and runs[-1][0] == k:
+            runs[-1][2] = m
+            runs[-1][3] += n
+            runs[-1][4] += n * q
+        else:
+            runs.append([k, early.pop(i, m), m, n, n * q])
+    return [[(langdata.LANGS[k], a, b, n, q / n) for k, a, b, n, q in runs] for runs in out]
+
+
 SCHEMA = "job_id string, file_index int, fld string, lang string, n_sentences int, letters int, confidence double"
 
 
+def passages(texts: DataFrame, documents: DataFrame, sample_rows: int = langdata.SAMPLE_ROWS) -> DataFrame:
+    """(job_id, file_index, fld, passage, lang, first_sentence, last_sentence, letters, confidence) of ``fields`` rows."""
+    model = texts.sparkSession.sparkContext.broadcast(Centroids(langdata.labelled_sample(documents, n=sample_rows)))
+    names = ["job_id", "file_index", "fld", "passage", "lang", "first_sentence", "last_sentence", "letters", "confidence"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for a in range(0, len(pdf), 500):
+            part = pdf.iloc[a : a + 500]
+            for key, runs in zip(zip(part["job_id"], part["file_index"], part["fld"]), segments(model.value, list(part["text"]))):
+                rows += [(*key, m + 1, k, f, l, n, round(float(q), 4)) for m, (k, f, l, n, q) in enumerate(runs)]
+        return pd.DataFrame(rows, columns=names)
+
+    return C.map_texts(texts, "job_id string, file_index int, fld string, passage int, lang string, first_sentence int, last_sentence int, letters int, confidence double", run)
+
+
 def languages(texts: DataFrame, documents: DataFrame, sample_rows: int = langdata.SAMPLE_ROWS) -> DataFrame:
     """(job_id, file_index, fld, lang, n_sentences, letters, confidence) of ``fields`` rows."""
     model = texts.sparkSession.sparkContext.broadcast(Centroids(langdata.labelled_sample(documents, n=sample_rows)))
@@ -241,10 +284,7 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _profiles(spark, sf_dir)
-    code = F.udf(langdata.label_code, T.StringType())
-    labels = C.table(spark, sf_dir, "lang_labels").select("job_id", F.col("file_index").cast("int").alias("file_index"), "fld", F.col("lang").alias("label"))
-    spelled = labels.select("label").distinct().where("label is not null").withColumn("code", code("label"))
-    labels = labels.distinct().join(spelled, "label", "left").select("job_id", "file_index", "fld", "code")
+    labels = C.table(spark, sf_dir, "lang_labels").select("job_id", F.col("file_index").cast("int").alias("file_index"), "fld", langdata.label_column(F.col("lang")).alias("code")).distinct()
     x = labels.join(p, ["job_id", "file_index", "fld"]).withColumn("main", F.expr("langs[0].lang"))
     key = ["job_id", "file_index", "fld"]
     #: All issues of a text in one array, so that the texts are scored once.
@@ -256,11 +296,16 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text's language segments: share of letters and confidence per language."""
+    """Each text's languages: share of letters and confidence per language."""
     p = _profiles(spark, sf_dir).withColumn("total", F.expr("aggregate(langs.letters, 0, (a, x) -> a + x)"))
     return p.select("job_id", "file_index", "fld", "total", F.posexplode("langs").alias("rank", "x")).select(
         "job_id", "file_index", "fld", (F.col("rank") + 1).alias("rank"), "x.lang", "x.n_sentences", F.round(F.col("x.letters") / F.col("total"), 4).alias("share"), F.round("x.confidence", 4).alias("confidence")
     )
 
 
-QUERIES = {"p2_found": found, "p2_languages": text_languages}
+def text_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage of a text in one language, with its sentences (numbered from 1) and confidence."""
+    return passages(C.fields(C.table(spark, sf_dir, "results")), C.table(spark, sf_dir, "documents")).distinct()
+
+
+QUERIES = {"p2_passages": text_passages, "p2_found": found, "p2_languages": text_languages}

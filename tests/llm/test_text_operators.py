@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom import schema
 from paperloom.llm import abuse_sentences, exemplars, langdata
@@ -201,6 +202,21 @@ def test_label_spellings():
     assert langdata.label_code("Klingon") == "klingon"
 
 
+def test_label_column_equals_the_function(spark):
+    labels = ["eng", "English", "en_US", " DE ", "Deutsch", "fr-CA", "Portuguese (Brazil)", "zh-CN", None, "", " ", "unknown", "und", "??", "n/a", "auto", "Klingon", "Tiếng Việt", "español", "12", "PT-BR"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "i int, lang string")
+    got = [r.code for r in df.select("i", langdata.label_column(F.col("lang")).alias("code")).orderBy("i").collect()]
+    assert got == [langdata.label_code(x) for x in labels]
+
+
+def test_passages_have_places(spark):
+    model = p2.Centroids([(k, s) for k, v in langdata.SEEDS.items() for s in C.SENT_END.split(v) if s.strip()])
+    en, de = "The children of the village had no school that year.", "Die Kinder des Dorfes hatten in jenem Jahr keine Schule."
+    (runs,) = p2.segments(model, [f"{en} {en}\n\n{de} {de}\n\n{en}"])
+    assert [r[:3] for r in runs] == [("en", 1, 2), ("de", 3, 4), ("en", 5, 5)] and all(0 < r[4] <= 1 for r in runs)
+    assert p2.segments(model, ["", "12 34", "###"]) == [[], [], []]
+
+
 # ---------------------------------------------------------------- 3
 
 
