@@ -50,6 +50,8 @@ COMPANY = 0.5
 BROADCAST_WORDS = 1_000_000
 #: Words that count as frequent enough for a lexicon of joins: at least one of so many of the corpus.
 LEXICON_SHARE = 20_000_000
+#: Parts that the words of a hot gram are spread over.
+SALTS = 8
 MISREAD_WORDS = 3
 REPLACE_P = 0.5
 JOIN_P = 0.5
@@ -146,7 +148,11 @@ def candidates(counts: DataFrame) -> DataFrame:
     have = have.where((F.col("q") == 2) & (F.col("clen") <= 6) | (F.col("q") == 3) & (F.col("clen") >= 5))
     have = have.withColumn("g", F.explode(F.transform(F.sequence(F.lit(1), F.col("clen") + 3 - F.col("q")), lambda i: F.struct(i.cast("int").alias("pos"), F.substring(F.concat(F.lit("^"), F.col("cand"), F.lit("$")), i, F.col("q")).alias("gram")))))
     have = have.select("cand", "m", "clen", "q", "g.pos", "g.gram")
-    hit = ask.join(have, ["q", "gram", "pos"]).where((F.abs(F.col("len") - F.col("clen")) <= 1) & (F.col("m") >= F.col("need")))
+    #: Pairs of letters and word beginnings are hot: their words are spread over salts.
+    hot = (F.col("q") == 2) | F.col("gram").startswith("^")
+    ask = ask.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("word"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    have = have.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    hit = ask.join(have, ["q", "gram", "pos", "salt"]).where((F.abs(F.col("len") - F.col("clen")) <= 1) & (F.col("m") >= F.col("need")))
     shared = hit.groupBy("word", "cand").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.first("len").alias("len"), F.first("q").alias("q"), F.count("*").alias("shared"))
     return shared.where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.col("len") * 0.3).cast("int"))).drop("len", "q")
 
