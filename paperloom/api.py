@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import constants as K
 from . import schema
@@ -30,11 +31,25 @@ TABLES = ("jobs", "results", "file_polygons", "edits", "logs", "final_pages", "s
 EXTRA = {"settings": "job_id STRING, key STRING, value STRING, ts TIMESTAMP", "files": "job_id STRING, filename STRING, content BINARY"}
 
 
+#: What an archive holds of a job beside its own row: table -> columns.
+ARCHIVED = {
+    "results": ["file_index", "filename", "regions", "extracted_text", "translation", "done"], "file_polygons": ["filename", "poly_idx", "points", "region_order", "done"],
+    "edits": ["file_index", "ts", "field", "value"], "final_pages": ["page_no", "text"], "settings": ["key", "value", "ts"],
+}
+#: The JSON of a job in an archive; region maps are JSON inside it.
+ARCHIVE = (
+    f"name: STRING, status: STRING, progress: INT, model_version: STRING, prompt: STRING, confidence_threshold: DOUBLE, polygons: ARRAY<{schema.POLYGON}>, "
+    "results: ARRAY<STRUCT<file_index: INT, filename: STRING, regions: STRING, extracted_text: STRING, translation: STRING, done: BOOLEAN>>, "
+    f"file_polygons: ARRAY<STRUCT<filename: STRING, poly_idx: INT, points: {schema.POINTS}, region_order: INT, done: BOOLEAN>>, "
+    "edits: ARRAY<STRUCT<file_index: INT, ts: STRING, field: STRING, value: STRING>>, final_pages: ARRAY<STRUCT<page_no: INT, text: STRING>>, settings: ARRAY<STRUCT<key: STRING, value: STRING, ts: STRING>>"
+)
+
+
 class Workbench:
     """Jobs, their files and results in a folder of snapshots."""
 
-    def __init__(self, spark: SparkSession, folder: str, client: N.ModelClient, page_size: tuple[int, int] = (2480, 3508)):
-        self.spark, self.folder, self.client, self.page_size = spark, folder.rstrip("/"), client, page_size
+    def __init__(self, spark: SparkSession, folder: str, client: N.ModelClient):
+        self.spark, self.folder, self.client = spark, folder.rstrip("/"), client
         ship(spark)
         jobzip.register(spark)
 
@@ -107,15 +122,20 @@ class Workbench:
     # -- files and results
 
     def add_files(self, job_id: str, files: DataFrame) -> None:
-        """Adds (filename, content) files; only they are worked on by the next run."""
+        """Adds (filename, content) files; a file of a name that the job has takes its place, without a row of its own."""
         self.get_job(job_id)
-        new = files.select(F.lit(job_id).alias("job_id"), "filename", "content")
-        self.write("files", self.read("files").unionByName(new))
-        self.write("results", J.add_files(self.read("results"), new.select("job_id", "filename")))
+        new = files.select(F.lit(job_id).alias("job_id"), "filename", "content").dropDuplicates(["filename"])
+        old = self.read("files")
+        fresh = new.select("job_id", "filename").join(old.select("job_id", "filename"), ["job_id", "filename"], "left_anti")
+        self.write("results", J.add_files(self.read("results"), fresh))
+        self.write("files", old.join(new.select("job_id", "filename"), ["job_id", "filename"], "left_anti").select(new.columns).unionByName(new))
 
     def remove_files(self, job_id: str, indexes: list[int]) -> None:
         doomed = self.spark.createDataFrame([(job_id, i) for i in indexes], "job_id string, file_index int")
         r = self.read("results")
+        missing = doomed.join(r, ["job_id", "file_index"], "left_anti").first()
+        if missing:
+            raise J.NotFound(f"{job_id}/{missing.file_index}")
         at = J.remove_files(R.files_of(r), doomed).select("job_id", F.col("file_index").alias("new_index"), F.col("old_index").alias("file_index"))
         self.write("results", r.join(at, ["job_id", "file_index"]).withColumn("file_index", F.col("new_index")).drop("new_index").select(r.columns))
 
@@ -126,32 +146,46 @@ class Workbench:
             raise J.NotFound(f"{job_id}/{file_index}")
         return bytes(row[0])
 
-    def crop(self, job_id: str, file_index: int, poly_idx: int, images: DataFrame) -> bytes:
-        """PNG of one region, cut from (filename, height, width, nChannels, data) images."""
+    def _work(self, job_id: str, file_index: int, poly_idx: int) -> DataFrame:
+        """The work of one region; ``NotFound`` if the file or the region doesn't exist."""
         one = (F.col("job_id") == job_id) & (F.col("file_index") == file_index)
-        x = R.explode_regions(R.resolve_polygons(self.read("results").where(one), self.read("file_polygons"), self.read("jobs"))).where(F.col("poly_idx") == poly_idx)
-        row = I.crops(R.boxes(x.join(images, "filename"), F.col("width"), F.col("height"))).first()
-        if row is None:
+        w = X.work_list(self.read("results").where(one), self.read("file_polygons"), self.read("jobs"), force=True).where(F.col("poly_idx") == poly_idx)
+        if w.isEmpty():
+            raise J.NotFound(f"{job_id}/{file_index}/{poly_idx}")
+        return w.withColumn("reused", F.lit(False))
+
+    def crop(self, job_id: str, file_index: int, poly_idx: int) -> bytes:
+        """PNG of one region of a stored page, cut anew so that it always fits the region."""
+        row = X.cuts(self._work(job_id, file_index, poly_idx), self.read("files")).first()
+        if row is None or row.png is None:
             raise J.NotFound(f"{job_id}/{file_index}/{poly_idx}")
         return bytes(row.png)
 
-    def run(self, force: bool = False) -> None:
-        """Extracts the pending files of all queued jobs and derives their status."""
+    def _options(self) -> DataFrame:
+        s = self.read("settings")
+        return X.options_of(J.merge_settings(s.limit(0).drop("ts"), s))
+
+    def run(self, job_id: str | None = None) -> None:
+        """Extracts the files of all queued jobs that have no text yet, or all of one job's that aren't done by hand.
+
+        What a run has extracted is committed as one version, so a run that fails or is
+        repeated goes on where the last whole one ended. ``done`` is the user's mark and stays.
+        """
         results, jobs = self.read("results"), self.read("jobs")
         queued = jobs.where("status = 'queued'").select("job_id").distinct()
-        todo = results.join(queued, "job_id", "left_semi")
+        open_ = F.col("job_id") == job_id if job_id else F.length(F.coalesce("extracted_text", F.lit(""))) == 0
+        todo = results.join(queued, "job_id", "left_semi").where(open_)
         inferred = f"{self.folder}/inferred/{uuid.uuid4().hex}"
 
         def once(df: DataFrame) -> DataFrame:
             df.write.parquet(inferred)
             return self.spark.read.parquet(inferred)
 
-        new = X.run(todo, self.read("file_polygons"), jobs, self.client, *self.page_size, force=force, materialise=once)
+        new = X.run(todo, self.read("file_polygons"), jobs, self.client, self.read("files"), self._options(), materialise=once)
         new = new.select("job_id", "file_index", F.col("extracted_text").alias("new_text"), F.col("regions").alias("new_regions"))
         none = F.create_map().cast("map<string,string>")
         joined = results.join(new, ["job_id", "file_index"], "left").withColumns({
             "extracted_text": F.coalesce("new_text", "extracted_text"), "regions": F.when(F.col("new_text").isNotNull(), R.merge_regions(F.col("regions"), F.coalesce("new_regions", none))).otherwise(F.col("regions")),
-            "done": F.col("new_text").isNotNull() | F.coalesce("done", F.lit(False)),
         })
         self.write("results", joined.select(results.columns))
         status = J.derive_status(jobs, self.read("results")).select("job_id", F.col("status").alias("s"), F.when(F.col("n_files") > 0, (F.col("n_done") / F.col("n_files") * 100).cast("int")).otherwise(100).alias("p"))
@@ -159,24 +193,34 @@ class Workbench:
         self.log("run finished", "SUCCESS")
 
     def rerun(self, job_id: str, patch: dict | None = None) -> None:
-        """Queues a job again; nested and flat setting payloads are both taken."""
+        """Runs a job again but for the files that are done; nested and flat setting payloads are both taken."""
         if patch:
             self.merge_settings(job_id, patch.get("settings", patch))
         mine = F.col("job_id") == job_id
         self.get_job(job_id)
         self.write("jobs", self.read("jobs").withColumns({"status": F.when(mine, "queued").otherwise(F.col("status")), "progress": F.when(mine, 0).otherwise(F.col("progress"))}))
-        self.write("results", self.read("results").withColumn("done", F.when(mine, False).otherwise(F.col("done"))))
-        self.run()
+        self.run(job_id)
 
-    def retry_region(self, job_id: str, file_index: int, poly_idx: int) -> str:
-        """Asks the model again for one region and appends its text to the file's."""
+    def set_done(self, job_id: str, file_index: int, done: bool = True) -> None:
+        """The user's mark that a file is done: reruns leave it alone."""
+        r = self.read("results")
         one = (F.col("job_id") == job_id) & (F.col("file_index") == file_index)
+        self.write("results", r.withColumn("done", F.when(one, F.lit(done)).otherwise(F.col("done"))))
+
+    def set_polygons(self, job_id: str, filename: str, polygons: DataFrame) -> None:
+        """Replaces a file's regions by (points, region_order, done) rows; none clears them, their order counts."""
+        p = self.read("file_polygons")
+        rest = p.where(~((F.col("job_id") == job_id) & (F.col("filename") == filename)))
+        new = polygons.select(F.lit(job_id).alias("job_id"), F.lit(filename).alias("filename"), (F.row_number().over(Window.orderBy("region_order")) - 1).alias("poly_idx"), "points", "region_order", "done")
+        self.write("file_polygons", rest.unionByName(new.select(p.columns)))
+
+    def retry_region(self, job_id: str, file_index: int, poly_idx: int) -> str:
+        """Asks the model again about one region's crop and appends its text to the file's."""
+        w = self._work(job_id, file_index, poly_idx)
+        asked = X.ask(w, self.read("files"), self.client, self._options()).first()
+        order = asked.region_order if asked.region_order is not None else w.first().region_order
+        one_row = self.spark.createDataFrame([(job_id, file_index, order, asked.text)], "job_id string, file_index int, region_order int, text string")
         r = self.read("results")
-        w = X.work_list(r.where(one), self.read("file_polygons"), self.read("jobs"), *self.page_size, force=True).where(F.col("poly_idx") == poly_idx)
-        asked = N.infer(w.select("job_id", "file_index", "region_order", "model", F.concat_ws("|", "prompt", "filename", F.col("poly_idx").cast("string")).alias("prompt")), self.client).first()
-        if asked is None:
-            raise J.NotFound(f"{job_id}/{file_index}/{poly_idx}")
-        one_row = self.spark.createDataFrame([(job_id, file_index, asked.region_order, asked.text)], "job_id string, file_index int, region_order int, text string")
         self.write("results", X.retry_text(r, one_row).select(r.columns))
         return asked.text
 
@@ -195,33 +239,40 @@ class Workbench:
     # -- archives, models, logs
 
     def export_zip(self, job_id: str, folder: str) -> None:
-        """One archive with the job's data and files, paths kept."""
-        job = self.get_job(job_id).first().asDict(recursive=True)
-        rs = [x.asDict(recursive=True) for x in self.read("results").where(F.col("job_id") == job_id).orderBy("file_index").collect()]
-        data = json.dumps({job_id: job | {"id": job_id, "results": rs}}, default=str).encode()
-        rows = self.spark.createDataFrame([(job_id, jobzip.DATA, data)], "job_id string, member string, content binary")
-        files = self.read("files").where(F.col("job_id") == job_id).select("job_id", F.col("filename").alias("member"), "content")
+        """One archive with everything the job has: its data as one JSON member, and its files, paths kept."""
+        mine = lambda n: self.read(n).where(F.col("job_id") == job_id)
+        self.get_job(job_id)
+        job = mine("jobs").distinct().limit(1)
+        for name, cols in ARCHIVED.items():
+            rows = mine(name).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("string").alias(c) if c == "ts" else F.col(c) for c in cols]))).alias(name)) if name != "results" else mine(name).groupBy("job_id").agg(
+                F.sort_array(F.collect_list(F.struct("file_index", F.to_json("regions").alias("regions"), "filename", "extracted_text", "translation", "done"))).alias(name))
+            job = job.join(rows, "job_id", "left")
+        data = F.to_json(F.create_map(F.col("job_id"), F.struct(F.col("job_id").alias("id"), *[c for c in job.columns if c != "job_id"])))
+        rows = job.select("job_id", F.lit(jobzip.DATA).alias("member"), F.encode(data, "UTF-8").alias("content"))
+        files = mine("files").select("job_id", F.col("filename").alias("member"), "content")
         rows.unionByName(files).repartition(1, "job_id").write.format("jobzip").mode("append").save(folder)
 
     def import_zip(self, path: str) -> list[str]:
-        """Imports archives; ids in use get a suffix. Returns the new ids."""
+        """Imports archives with all that they hold; ids in use get a suffix. Returns the new ids."""
         a = self.spark.read.format("jobzip").load(path).cache()
-        ids = {r.job_id: r.new_id for r in J.import_ids(a, self.read("jobs")).collect()}
-        jobs, results = [], []
-        for r in a.where(F.col("member") == jobzip.DATA).collect():
-            old, job = next(iter(json.loads(bytes(r.content)).items()))
-            new = ids[old]
-            jobs.append((new, job.get("name"), job.get("status", "queued"), int(job.get("progress") or 0), job.get("model_version"), job.get("prompt"), job.get("confidence_threshold"), []))
-            for i, x in enumerate(job.get("results") or []):
-                results.append((new, i, x.get("filename"), x.get("regions") or {}, x.get("extracted_text") or "", x.get("translation") or "", bool(x.get("done"))))
-        pairs = F.create_map(*[F.lit(v) for kv in ids.items() for v in kv]) if ids else None
-        if jobs:
-            self.write("jobs", self.read("jobs").unionByName(self.spark.createDataFrame(jobs, schema.JOBS)))
-            self.write("results", self.read("results").unionByName(self.spark.createDataFrame(results, schema.RESULTS)))
-            files = a.where(F.col("member") != jobzip.DATA).select(pairs[F.col("job_id")].alias("job_id"), F.col("member").alias("filename"), "content")
-            self.write("files", self.read("files").unionByName(files))
-        a.unpersist()
-        return sorted(ids.values())
+        ids = J.import_ids(a, self.read("jobs")).cache()
+        data = a.where(F.col("member") == jobzip.DATA).select(F.explode(F.from_json(F.decode("content", "UTF-8"), f"MAP<STRING, STRUCT<{ARCHIVE}>>")).alias("job_id", "j")).join(ids, "job_id").select(F.col("new_id").alias("job_id"), "j")
+        data = data.cache()
+        column = {"status": F.coalesce("j.status", F.lit("queued")), "progress": F.coalesce("j.progress", F.lit(0))}
+        jobs = self.read("jobs")
+        self.write("jobs", jobs.unionByName(data.select("job_id", *[column.get(c, F.col(f"j.{c}")).alias(c) for c in jobs.columns if c != "job_id"])))
+        for name in ARCHIVED:
+            old = self.read(name)
+            x = data.select("job_id", F.posexplode(f"j.{name}").alias("at", "x"))
+            own = {"file_index": F.coalesce("x.file_index", "at"), "regions": F.coalesce(F.from_json("x.regions", "map<string,string>"), F.create_map().cast("map<string,string>"))} if name == "results" else {}
+            types = dict(old.dtypes)
+            self.write(name, old.unionByName(x.select("job_id", *[own.get(c, F.col(f"x.{c}")).cast(types[c]).alias(c) for c in old.columns if c != "job_id"])))
+        files = a.where(F.col("member") != jobzip.DATA).join(ids, "job_id").select(F.col("new_id").alias("job_id"), F.col("member").alias("filename"), "content")
+        self.write("files", self.read("files").unionByName(files))
+        new = sorted(r[0] for r in ids.select("new_id").collect())
+        for x in (data, ids, a):
+            x.unpersist()
+        return new
 
     def list_models(self) -> DataFrame:
         names = self.client.list_models()

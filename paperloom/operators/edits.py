@@ -25,7 +25,15 @@ def collapse(edits: DataFrame) -> DataFrame:
 
 
 def apply(results: DataFrame, edits: DataFrame) -> DataFrame:
-    """Results with the last edited text and translation; other fields stay."""
-    last = collapse(edits).where("field IN ('extracted_text', 'translation')")
-    wide = last.groupBy(*KEY).agg(F.max(F.when(F.col("field") == "extracted_text", F.col("value"))).alias("new_text"), F.max(F.when(F.col("field") == "translation", F.col("value"))).alias("new_translation"))
-    return results.join(wide, KEY, "left").withColumns({"extracted_text": F.coalesce("new_text", "extracted_text"), "translation": F.coalesce("new_translation", "translation")}).drop("new_text", "new_translation")
+    """Results with the last edited text, translation and regions; other fields stay.
+
+    A ``regions`` edit is the whole map as JSON, as the workbench saves it; a value that
+    is no JSON object changes nothing.
+    """
+    last = collapse(edits).where("field IN ('extracted_text', 'translation', 'regions')")
+    of = lambda name, out: F.max(F.when(F.col("field") == name, F.col("value"))).alias(out)
+    wide = last.groupBy(*KEY).agg(of("extracted_text", "new_text"), of("translation", "new_translation"), of("regions", "new_regions"))
+    x = results.join(wide, KEY, "left").withColumns({"extracted_text": F.coalesce("new_text", "extracted_text"), "translation": F.coalesce("new_translation", "translation")})
+    if "regions" in results.columns:
+        x = x.withColumn("regions", F.coalesce(F.from_json("new_regions", "map<string,string>"), "regions"))
+    return x.drop("new_text", "new_translation", "new_regions")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import urllib.request
 import zlib
@@ -34,7 +35,7 @@ class StubClient:
         self.fail_every = fail_every
 
     def extract(self, model: str, prompt: str, image: bytes | None, options: dict) -> str:
-        n = zlib.crc32((prompt or "").encode() + (image or b""))
+        n = zlib.crc32((prompt or "").encode() + (image or b"") + json.dumps(options, sort_keys=True, default=str).encode())
         if self.fail_every and n % self.fail_every == 0:
             raise RuntimeError(f"status {500 + n % 4} for chat call")
         return f"text {n:08x}"
@@ -49,6 +50,29 @@ class StubClient:
         return ["stub:latest"]
 
 
+class EchoClient:
+    """Deterministic client that says what it was sent: the picture's size and digests of prompt and options."""
+
+    def __init__(self, fail_on: int = 0):
+        self.fail_on = fail_on
+
+    def extract(self, model: str, prompt: str, image: bytes | None, options: dict) -> str:
+        w, h = int.from_bytes(image[16:20], "big"), int.from_bytes(image[20:24], "big")  # of the PNG's head
+        if self.fail_on and (w * h) % self.fail_on == 0:
+            raise RuntimeError(f"status {500 + w % 4} for chat call")
+        said = "|".join([prompt, *(f"{k}={options[k]}" for k in sorted(options))])
+        return f"{w}x{h} {hashlib.md5(said.encode()).hexdigest()}"
+
+    def translate(self, model: str, system: str, user: str) -> str:
+        d = hashlib.md5((system + user).encode()).hexdigest()
+        if self.fail_on and d[0] == "0":
+            raise RuntimeError("read timed out")
+        return f" {d} "
+
+    def list_models(self) -> list[str]:
+        return ["echo:latest"]
+
+
 class HttpClient:
     """Client of a chat server over HTTP, with the usual time limits."""
 
@@ -96,27 +120,31 @@ def _with(df: DataFrame, out: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *new])
 
 
-def infer(work: DataFrame, client: ModelClient, image: str | None = None, calls: int | None = None) -> DataFrame:
+def infer(work: DataFrame, client: ModelClient, image: str | None = None, calls: int | None = None, broken: str | None = None) -> DataFrame:
     """Adds (text, ok, error) to rows of (model, prompt, …[, image bytes, options]).
 
     A failure becomes the row's rendered error text; it never fails the task. ``calls``
-    caps the calls in flight by the number of partitions. Materialise the result before
+    caps the calls in flight by the number of partitions. A row whose ``broken`` column
+    says why its file can't be worked on gets the file's error text without a call. Materialise the result before
     using it twice: a second evaluation would call the model again.
     """
     if calls:
         work = work.repartition(calls)
-    schema = _with(work, "text")
+    schema = _with(work.drop(*[c for c in (image, broken) if c]), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
+                if broken and isinstance(row[broken], str):
+                    out.append((K.FILE_ERROR.format(name=row["filename"], error=row[broken]), False, row[broken]))
+                    continue
                 try:
-                    body = client.extract(row["model"], row["prompt"], row.get(image) if image else None, row.get("options") or {})
+                    body = client.extract(row["model"], row["prompt"], bytes(row[image]) if image and row[image] is not None else None, dict(row.get("options") or {}))
                     out.append((K.EXTRACT_HEADER.format(model=row["model"]) + body, True, None))
                 except Exception as e:  # noqa: BLE001 - any failure of a model is data
                     out.append((K.EXTRACT_ERROR.format(error=e), False, str(e)))
-            yield pdf.assign(text=[o[0] for o in out], ok=[o[1] for o in out], error=[o[2] for o in out])
+            yield pdf.drop(columns=[c for c in (image, broken) if c]).assign(text=[o[0] for o in out], ok=[o[1] for o in out], error=[o[2] for o in out])
 
     return work.mapInPandas(run, schema)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as S
+from .numbering import name_block, number_block, positions
 
 KEY = ["job_id", "file_index"]
 
@@ -79,8 +80,7 @@ def add_files(results: DataFrame, files: DataFrame) -> DataFrame:
     Numbers continue per job by file name; names may repeat.
     """
     last = results.groupBy("job_id").agg((F.max("file_index") + 1).alias("start"))
-    at = F.row_number().over(Window.partitionBy("job_id").orderBy("filename")) - 1
-    new = files.withColumn("at", at).join(last, "job_id", "left").select(
+    new = positions(files, "job_id", ["filename"], name_block("filename")).withColumn("at", F.col("pos") - 1).join(last, "job_id", "left").select(
         "job_id", (F.coalesce("start", F.lit(0)) + F.col("at")).cast("int").alias("file_index"), "filename",
         F.create_map().cast("map<string,string>").alias("regions"), F.lit("").alias("extracted_text"), F.lit("").alias("translation"), F.lit(False).alias("done"),
     )
@@ -90,8 +90,8 @@ def add_files(results: DataFrame, files: DataFrame) -> DataFrame:
 def remove_files(files: DataFrame, doomed: DataFrame) -> DataFrame:
     """(job_id, file_index, old_index, filename): without the doomed files, numbered anew."""
     kept = files.join(doomed.select(*KEY).distinct(), KEY, "left_anti")
-    at = F.row_number().over(Window.partitionBy("job_id").orderBy("file_index")) - 1
-    return kept.select("job_id", at.cast("int").alias("file_index"), F.col("file_index").alias("old_index"), "filename")
+    kept = positions(kept, "job_id", ["file_index"], number_block("file_index"))
+    return kept.select("job_id", (F.col("pos") - 1).cast("int").alias("file_index"), F.col("file_index").alias("old_index"), "filename")
 
 
 def import_ids(incoming: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -107,10 +107,38 @@ def import_ids(incoming: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def unique_names(files: DataFrame) -> DataFrame:
-    """(job_id, file_index, filename, staged): repeated names get _1, _2, … before the extension."""
-    n = F.row_number().over(Window.partitionBy("job_id", "filename").orderBy("file_index")) - 1
+    """(job_id, file_index, filename, staged): each file in turn takes its name, or the first free of _1, _2, …
+
+    Free means taken by no earlier file, whether as its own name or as a new one. Names
+    can only meet if they agree without their numbered ends. Among those with no numbered
+    name of their own the places alone decide; the others are gone through in turn.
+    """
     stem, ext = F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"(\.[^.]*)$", 1)
-    return files.withColumn("n", n).select("job_id", "file_index", "filename", F.when(F.col("n") == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), ext)).alias("staged"))
+    f = files.select("job_id", "file_index", "filename").withColumn("family", F.concat(F.regexp_replace(stem, r"(_\d+)+$", ""), ext)).withColumn("numbered", stem.rlike(r"_\d+$"))
+    copies = f.groupBy("job_id", "family").agg((F.max("numbered") & (F.count("*") > F.count_distinct("filename"))).alias("meet"))
+    f = f.join(copies, ["job_id", "family"])
+    plain = f.where("NOT meet").withColumn("name_key", F.to_json(F.struct("job_id", "filename")))
+    n = positions(plain, "name_key", ["file_index"], number_block("file_index")).withColumn("n", F.col("pos") - 1)
+    alone = n.select("job_id", "file_index", "filename", F.when(F.col("n") == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), ext)).alias("staged"))
+
+    def in_turn(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        following: dict[str, int] = {}
+        out = []
+        pdf = pdf.sort_values("file_index")
+        for name in pdf["filename"]:
+            new, k = name, following.get(name, 1)
+            base, dot, end = name.rpartition(".")
+            while new in taken:
+                new = f"{base}_{k}.{end}" if dot else f"{name}_{k}"
+                k += 1
+            following[name] = k
+            taken.add(new)
+            out.append(new)
+        return pdf.assign(staged=out)[["job_id", "file_index", "filename", "staged"]]
+
+    met = f.where("meet").groupBy("job_id", "family").applyInPandas(in_turn, "job_id string, file_index int, filename string, staged string")
+    return alone.unionByName(met)
 
 
 def log_tail(logs: DataFrame, n: int = 50) -> DataFrame:
@@ -124,4 +152,4 @@ def queue_order(jobs: DataFrame, results: DataFrame) -> DataFrame:
     """(job_id, file_index, filename, slot): the order in which queued files come up in a job."""
     q = jobs.where("status = 'queued'").select("job_id").distinct()
     f = pending_files(results).join(q, "job_id", "left_semi")
-    return f.withColumn("slot", F.row_number().over(Window.partitionBy("job_id").orderBy("file_index")))
+    return positions(f, "job_id", ["file_index"], number_block("file_index"), out="slot")

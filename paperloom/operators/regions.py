@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import scalars as S
+from .numbering import number_block, positions
 
 KEY = ["job_id", "file_index"]
 
@@ -133,7 +133,5 @@ def tree(resolved: DataFrame) -> DataFrame:
 
 def progress(results: DataFrame) -> DataFrame:
     """(job_id, file_index, n_files, progress): percent after each file, cut to whole numbers."""
-    f = files_of(results)
-    n = F.count("*").over(Window.partitionBy("job_id"))
-    i = F.row_number().over(Window.partitionBy("job_id").orderBy("file_index"))
-    return f.select(*KEY, n.alias("n_files"), (i / n.cast("double") * 100).cast("int").alias("progress"))
+    f = positions(files_of(results), "job_id", ["file_index"], number_block("file_index"), total="n_files")
+    return f.select(*KEY, "n_files", (F.col("pos") / F.col("n_files").cast("double") * 100).cast("int").alias("progress"))

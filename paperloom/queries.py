@@ -5,9 +5,9 @@ All run over whole tables. Page size for boxes is A4 at 300 dpi (2480 x 3508).
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from .operators import models as M
 from .operators import pages as P
 from .operators import regions as R
 from .plans import extract as X
-from .session import shipped
+from .session import shared_folder, shipped
 from .sinks import documents as D
 from .sources.tables import table
 from .streaming import ingest as T
@@ -384,22 +384,57 @@ def threshold_vectors(spark, d):
     return I.threshold_vectors(table(spark, d, "embeddings"))
 
 
-@query("run_batch")
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """A white page for each file, PNG, of a size that follows from the file's name."""
+
+    def draw(batches):
+        for pdf in batches:
+            yield pdf.assign(content=[I.encode_png(np.full((80 + 2 * len(n), 60 + 3 * len(n)), 255, np.uint8)) for n in pdf["filename"]])
+
+    return table(spark, d, "results").where("filename IS NOT NULL").select("job_id", "filename").distinct().mapInPandas(draw, "job_id string, filename string, content binary")
+
+
+#: Crops in pixels of the drawn pages, and what the echoing client says of them.
+CROPS = f"""{POLYS}, {STORED}, model AS (SELECT job_id, coalesce(max(model_version), 'unknown') AS model, coalesce(max(prompt), '') AS prompt FROM jobs GROUP BY 1),
+unit AS (SELECT x.*, 60 + 3 * length(filename) AS w, 80 + 2 * length(filename) AS h, greatest(list_min(list_transform(points, lambda p: p.x * 1.0)), 0.0) AS l, greatest(list_min(list_transform(points, lambda p: p.y * 1.0)), 0.0) AS t,
+  least(list_max(list_transform(points, lambda p: p.x * 1.0)), 1.0) AS r, least(list_max(list_transform(points, lambda p: p.y * 1.0)), 1.0) AS b FROM regions_x x),
+cut AS (SELECT u.job_id, u.file_index, u.filename, u.poly_idx, u.region_order, CAST(ceil(r * w) - floor(l * w) AS INTEGER) AS cw, CAST(ceil(b * h) - floor(t * h) AS INTEGER) AS ch, s.v AS stored, (coalesce(u.done, false) AND s.v IS NOT NULL) AS reused
+  FROM unit u LEFT JOIN stored s ON s.job_id = u.job_id AND s.file_index = u.file_index AND s.k = CAST(u.region_order AS VARCHAR) WHERE r > l AND b > t),
+asked AS (SELECT job_id, file_index, poly_idx, region_order, cw, ch FROM cut WHERE NOT reused
+  UNION ALL SELECT f.job_id, f.file_index, NULL, NULL, 60 + 3 * length(f.filename), 80 + 2 * length(f.filename) FROM files f LEFT JOIN regions_x x USING (job_id, file_index) WHERE x.job_id IS NULL),
+echo AS (SELECT a.*, coalesce(m.model, 'unknown') AS model, cw || 'x' || ch || ' ' || md5(coalesce(m.prompt, '')) AS said FROM asked a LEFT JOIN model m USING (job_id))"""
+SAID = "'## Extracted by ' || model || ' (Ollama)' || chr(10) || chr(10) || said"
+FAILED = "'status ' || (500 + cw % 4) || ' for chat call'"
+
+
+@query("run_batch", f"""WITH {CROPS}, {PENDING}, texts AS (SELECT job_id, file_index, poly_idx, region_order, CASE WHEN cw * ch % 97 = 0 THEN '[Ollama Error: ' || {FAILED} || ']' ELSE {SAID} END AS text FROM echo
+  UNION ALL SELECT job_id, file_index, poly_idx, region_order, stored FROM cut WHERE reused)
+SELECT p.job_id, p.file_index, coalesce(max(text) FILTER (poly_idx IS NULL), string_agg('### REGION ' || region_order || chr(10) || text || chr(10) || chr(10), '' ORDER BY poly_idx, '### REGION ' || region_order || chr(10) || text || chr(10) || chr(10)), '') AS extracted_text, CAST(count(DISTINCT region_order) AS INTEGER) AS n_regions
+FROM pending p LEFT JOIN texts t USING (job_id, file_index) GROUP BY 1, 2""")
 def run_batch(spark, d):
     r, p, j = _t(spark, d, "results", "file_polygons", "jobs")
-    return X.run(r, p, j, N.StubClient(fail_every=97)).select("job_id", "file_index", "extracted_text", F.size("regions").alias("n_regions"))
+    return X.run(r, p, j, N.EchoClient(fail_on=97), _pages(spark, d)).select("job_id", "file_index", "extracted_text", F.coalesce(F.when(F.col("regions").isNotNull(), F.size("regions")), F.lit(0)).alias("n_regions"))
 
 
-@query("error_render")
+@query("error_render", f"WITH {CROPS} SELECT job_id, file_index, poly_idx, CASE WHEN cw * ch % 10 = 0 THEN '[Ollama Error: ' || {FAILED} || ']' ELSE {SAID} END AS text, cw * ch % 10 <> 0 AS ok, CASE WHEN cw * ch % 10 = 0 THEN {FAILED} END AS error FROM echo")
 def error_render(spark, d):
     r, p, j = _t(spark, d, "results", "file_polygons", "jobs")
-    w = X.work_list(r, p, j, WIDTH, HEIGHT, force=True).where("NOT reused").select("job_id", "file_index", "poly_idx", "model", F.concat_ws("|", "filename", F.col("poly_idx").cast("string")).alias("prompt"))
-    return N.infer(w, N.StubClient(fail_every=10)).select("job_id", "file_index", "poly_idx", "text", "ok", "error")
+    return X.ask(X.work_list(r, p, j, force=True), _pages(spark, d), N.EchoClient(fail_on=10)).drop("region_order")
+
+
+@query("file_errors", f"WITH {FILES} SELECT job_id, file_index, '[Error processing ' || filename || ': cannot identify image file]' AS extracted_text FROM files WHERE filename IS NOT NULL")
+def file_errors(spark, d):
+    """Every file as a page that is no picture: one rendered error per file, no call of the model."""
+    r = table(spark, d, "results").where("filename IS NOT NULL")
+    square = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.1, 0.1), (0.6, 0.1), (0.6, 0.7))])
+    p = r.select("job_id", "filename").distinct().select("job_id", "filename", F.lit(0).alias("poly_idx"), square.alias("points"), F.lit(1).alias("region_order"), F.lit(False).alias("done"))
+    bad = r.select("job_id", "filename", F.encode(F.lit("no picture"), "UTF-8").alias("content"))
+    return X.run(r, p, table(spark, d, "jobs"), N.EchoClient(), bad, force=True).select("job_id", "file_index", "extracted_text")
 
 
-@query("translate_batch")
+@query("translate_batch", "WITH p AS (" + SQL["translate_prompt"] + ") SELECT job_id, file_index, model, CASE WHEN left(md5(system || \"user\"), 1) = '0' THEN '[Translation Error: read timed out]' ELSE md5(system || \"user\") END AS translation, left(md5(system || \"user\"), 1) <> '0' AS ok FROM p")
 def translate_batch(spark, d):
-    return N.translate(translate_prompt(spark, d), N.StubClient(fail_every=50)).select("job_id", "file_index", "model", "translation", "ok")
+    return N.translate(translate_prompt(spark, d), N.EchoClient(fail_on=1)).select("job_id", "file_index", "model", "translation", "ok")
 
 
 @query("retry_append", f"WITH {FILES}, r AS (SELECT job_id, file_index, max(extracted_text) AS e FROM results GROUP BY 1, 2) SELECT job_id, file_index, coalesce(e, '') || chr(10) || chr(10) || '### RETRIED REGION 1' || chr(10) || filename AS extracted_text FROM r JOIN files USING (job_id, file_index)")
@@ -412,7 +447,7 @@ def retry_append(spark, d):
 def _drain(stream: DataFrame, mode: str, out_schema) -> DataFrame:
     """Runs a stream over what is there; returns the table that its sink wrote."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="paperloom-stream-")
+    base = shared_folder(spark)
     import uuid
 
     at = f"{base}/stream-{uuid.uuid4().hex}"
@@ -430,7 +465,7 @@ def stream_edits(spark, d):
     return _drain(s, "complete", s.schema)
 
 
-@query("stream_log_days")
+@query("stream_log_days", "SELECT date_trunc('day', ts AT TIME ZONE 'UTC') AS start, level, count(*) AS n FROM (SELECT DISTINCT ts, upper(coalesce(level, 'INFO')) AS level, msg FROM logs) GROUP BY 1, 2")
 def stream_log_days(spark, d):
     s = T.log_counts(T.stream_table(spark, f"{d}/logs.parquet", schema.LOGS), late=None)
     return _drain(s, "complete", s.schema)

@@ -41,3 +41,21 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, folder)
 
     return run
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; on one machine, one beside the warehouse."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "paperloom-checkpoints")
+    return where
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """The rows of a frame, evaluated once and kept in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)

@@ -1,6 +1,11 @@
 """The document pipeline's operators on hand-made cases."""
 
 import datetime as dt
+import hashlib
+import os
+import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -15,6 +20,7 @@ from paperloom.operators import images as I
 from paperloom.operators import inference as N
 from paperloom.operators import jobs as J
 from paperloom.operators import models as M
+from paperloom.operators import numbering
 from paperloom.operators import pages as P
 from paperloom.operators import regions as R
 from paperloom.plans import extract as X
@@ -81,19 +87,91 @@ def test_merge_keeps_stale_keys_unless_pruned(spark):
     assert x.select(R.merge_regions(F.col("o"), F.col("n"), True).alias("m")).first().m == {"1": "b"}
 
 
-def test_run_renders_errors_and_leaves_done_files(spark):
-    class Failing(N.StubClient):
+def page(width, height, seed=0):
+    return I.encode_png(np.random.default_rng(seed).integers(0, 256, (height, width, 3)))
+
+
+def test_run_sends_crops_prompt_and_options_once_a_region(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    class Counting(N.EchoClient):
         def extract(self, model, prompt, image, options):
-            if "|b.png" in prompt:
+            with open(calls, "a") as f:
+                f.write("x")
+            if image[:4] != b"\x89PNG":
                 raise RuntimeError("no picture")
-            return "ok " + prompt
-
-    r = results(spark, {}, {"file_index": 1, "filename": "b.png"}, {"file_index": 2, "filename": "c.png", "done": True}, {"file_index": 3, "filename": "d.png"})
-    p = polygons(spark, {}, {"filename": "d.png", "points": [(0.2, 0.2)]})
-    got = {x.file_index: x.extracted_text for x in X.run(r, p, jobs(spark, {}), Failing()).collect()}
-    assert got[0] == "### REGION 1\n## Extracted by m (Ollama)\n\nok p|a.png|0\n\n"
-    assert got[1] == "[Ollama Error: no picture]"
-    assert 2 not in got and got[3] == ""
+            return super().extract(model, prompt, image, options)
+
+    r = results(spark, {}, {"file_index": 1, "filename": "b.png"}, {"file_index": 2, "filename": "c.png", "done": True}, {"file_index": 3, "filename": "d.png"}, {"file_index": 4, "filename": "e.png", "regions": {"1": "kept"}}, {"file_index": 5, "filename": "f.png"}, {"file_index": 6, "filename": "g.png"})
+    half = [(0.25, 0.1), (0.75, 0.1), (0.75, 0.6), (0.25, 0.6)]
+    p = polygons(spark, {"points": half}, {"poly_idx": 1, "points": [(-1.0, 0.5), (0.5, 2.0)], "region_order": 2}, {"filename": "d.png", "points": [(0.2, 0.2)]}, {"filename": "e.png", "points": half}, {"filename": "f.png", "points": half})
+    pages = spark.createDataFrame([("j", "a.png", page(40, 30)), ("j", "b.png", page(20, 10)), ("j", "d.png", page(8, 8)), ("j", "e.png", b"no picture"), ("j", "f.png", page(9, 9)[:90])], "job_id string, filename string, content binary")
+    options = X.options_of(spark.createDataFrame([("j", "temp", "0.3"), ("j", "tone", "x")], "job_id string, key string, value string"))
+    said = hashlib.md5(b"p|temp=0.3").hexdigest()
+    got = {x.file_index: (x.extracted_text, x.regions) for x in X.run(r, p, jobs(spark, {}), Counting(), pages, options).collect()}
+    head = "## Extracted by m (Ollama)\n\n"
+    assert got[0][0] == f"### REGION 1\n{head}20x15 {said}\n\n### REGION 2\n{head}20x15 {said}\n\n"
+    assert got[1][0] == f"{head}20x10 {said}" and 2 not in got and got[3][0] == ""
+    assert got[4][0] == "[Error processing e.png: cannot identify image file]" and got[5][0].startswith("[Error processing f.png: ")
+    assert got[6][0] == "[Error processing g.png: no file content]"
+    assert os.path.getsize(calls) == 3  # two regions of a.png, the whole of b.png
+
+
+def test_decoding(tmp_path):
+    a = np.random.default_rng(3).integers(0, 256, (7, 5, 3)).astype(np.uint8)
+    assert (I.decode(I.encode_png(a)) == a).all() and (I.decode(I.encode_png(a[..., 0])) == a[..., 0]).all()
+    for bad in (None, b"", b"abc", I.encode_png(a)[:40]):
+        with pytest.raises(ValueError):
+            I.decode(bad)
+    #: The filters that encoders use, written by hand: each row names its own.
+    rows, out, above = [], b"", np.zeros(15, int)
+    for y in range(5):
+        row = a[y].reshape(-1).astype(int)
+        left, corner = np.concatenate([[0] * 3, row[:-3]]), np.concatenate([[0] * 3, above[:-3]])
+        est = left + above - corner
+        near = np.where((abs(est - left) <= abs(est - above)) & (abs(est - left) <= abs(est - corner)), left, np.where(abs(est - above) <= abs(est - corner), above, corner))
+        guess = [0 * row, left, above, (left + above) // 2, near][y]
+        out += bytes([y]) + bytes(((row - guess) % 256).astype(np.uint8))
+        rows.append(row)
+        above = row
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + b"0000"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+    assert (I.decode(png) == a[:5]).all()
+
+
+def test_names_in_turn(spark):
+    def by_hand(names):
+        taken, out = [], []
+        for f in names:
+            new, k = f, 1
+            while new in taken:
+                base, dot, end = f.rpartition(".")
+                new, k = (f"{base}_{k}.{end}" if dot else f"{f}_{k}"), k + 1
+            taken.append(new)
+            out.append(new)
+        return out
+
+    rnd = random.Random(2)
+    lists = [["a.png", "a.png", "a_1.png"], ["a_1.png", "a.png", "a.png"], ["x", "x", "x_1", "b.png", "b.png", "b_2.png"]] + [[rnd.choice(["a.png", "a_1.png", "a_1_1.png", "b.png", "c", "c_1"]) for _ in range(12)] for _ in range(6)]
+    files = spark.createDataFrame([(f"j{n}", i, f) for n, names in enumerate(lists) for i, f in enumerate(names)], "job_id string, file_index int, filename string")
+    got = {(x.job_id, x.file_index): x.staged for x in J.unique_names(files).collect()}
+    for n, names in enumerate(lists):
+        assert [got[f"j{n}", i] for i in range(len(names))] == by_hand(names)
+
+
+def test_positions_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "BLOCK", 7)
+    rows = [("hot", i * 3) for i in range(50)] + [("j", 5), ("j", 2), ("k", None), (None, 1)]
+    df = spark.createDataFrame(rows, "job_id string, file_index int")
+    got = {(x.job_id, x.file_index): (x.pos, x.n) for x in numbering.positions(df, "job_id", ["file_index"], numbering.number_block("file_index"), total="n").collect()}
+    assert all(got["hot", i * 3] == (i + 1, 50) for i in range(50)) and got["j", 2] == (1, 2) and got["j", 5] == (2, 2) and got["k", None] == (1, 1) and got[None, 1] == (1, 1)
+
+
+def test_region_edits_replace_the_map(spark):
+    r = results(spark, {"regions": {"1": "a", "2": "b"}}, {"file_index": 1, "regions": {"1": "z"}})
+    e = spark.createDataFrame([("j", 0, dt.datetime(2022, 1, 1), "regions", '{"1": "new", "3": "c"}'), ("j", 1, dt.datetime(2022, 1, 1), "regions", "no json")], schema.EDITS)
+    got = {x.file_index: x.regions for x in E.apply(r, e).collect()}
+    assert got == {0: {"1": "new", "3": "c"}, 1: {"1": "z"}}
 
 
 def test_log_tail_keeps_fifty(spark):
@@ -212,7 +290,8 @@ def test_job_database(spark, tmp_path):
 def test_empty_tables(spark):
     e = {n: spark.createDataFrame([], getattr(schema, n)) for n in ("RESULTS", "FILE_POLYGONS", "JOBS", "EDITS", "LOGS", "FINAL_PAGES")}
     assert R.resolve_polygons(e["RESULTS"], e["FILE_POLYGONS"], e["JOBS"]).count() == 0
-    assert X.run(e["RESULTS"], e["FILE_POLYGONS"], e["JOBS"], N.StubClient()).count() == 0
+    none = spark.createDataFrame([], "job_id string, filename string, content binary")
+    assert X.run(e["RESULTS"], e["FILE_POLYGONS"], e["JOBS"], N.StubClient(), none).count() == 0
     assert E.apply(e["RESULTS"], e["EDITS"]).count() == 0 and J.log_tail(e["LOGS"]).count() == 0
     assert D.batch_text(e["RESULTS"]).count() == 0 and P.page_lists(e["FINAL_PAGES"]).count() == 0
 
