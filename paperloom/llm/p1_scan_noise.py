@@ -517,7 +517,7 @@ class PageModels:
         sentences = sorted({s for t in sample for s in C.sentences(t) if 30 < len(s) < 160 and s[-1] in ".!?" and "\t" not in s and "|" not in s})[:4000] or ["The clerk wrote the letter to the council in the spring."]
         names = sorted({w for s in sentences for w in re.findall(r"(?<=[a-z] )[A-Z][a-z]{4,}", s)})[:300] or ["Haskval"]
         x, t, n = [], [], []
-        for _ in range(400):
+        for _ in range(800):
             text, kinds = written_page(sentences, names, rnd)
             ls = Lines(text)
             for i in range(len(ls.at)):
