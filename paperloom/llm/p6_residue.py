@@ -95,8 +95,9 @@ class Index:
         """``df``: in how many of n texts a word stands."""
         self.docs = [(kind, frozenset(t for w in windows(text) for t in w)) for kind, text in passages]
         self.docs = [(k, t) for k, t in self.docs if t]
-        self.top = math.log(2 + n)
-        self.idf = {t: math.log((2 + n) / (1 + c)) for t, c in df.items()}
+        #: The weight of unseen words is fixed, so that no bound moves with the number of texts.
+        self.top = math.log(COUNTED)
+        self.idf = {t: min(self.top, math.log((2 + n) / (1 + c))) for t, c in df.items()}
         self.post = defaultdict(list)
         for i, (_, terms) in enumerate(self.docs):
             for x in terms:
