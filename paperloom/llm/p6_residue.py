@@ -39,6 +39,8 @@ RARE = 0.45
 STYLE_HARD, STYLE_SOFT, INNER = 4.0, 0.3, 0.5
 #: Words in fewer texts than one of so many weigh as much as unseen ones; so the table of counts stays small.
 COUNTED = 20_000
+#: Texts without any word that are added to the count, so that a word of one of few texts is still rare.
+PRIOR_TEXTS = 500
 #: The heads of the workbench's own error lines.
 OWN_ERROR = re.compile(r"\[(Ollama Error|Translation Error|Error processing)\b([^\]\n]*)\]?")
 SLOTS = re.compile(
@@ -97,7 +99,7 @@ class Index:
         self.docs = [(k, t) for k, t in self.docs if t]
         #: The weight of unseen words is fixed, so that no bound moves with the number of texts.
         self.top = math.log(COUNTED)
-        self.idf = {t: min(self.top, math.log((2 + n) / (1 + c))) for t, c in df.items()}
+        self.idf = {t: min(self.top, math.log((n + PRIOR_TEXTS) / (1 + c))) for t, c in df.items()}
         self.post = defaultdict(list)
         for i, (_, terms) in enumerate(self.docs):
             for x in terms:
