@@ -103,6 +103,19 @@ def sample_texts(df: DataFrame, col: str, n: int) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
+#: Up to so many repeated texts their hashes are broadcast; beyond, the texts are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def once(df: DataFrame, col: str) -> DataFrame:
+    """(col, one): the non-blank texts; ``one`` adds up to 1 over the rows of each distinct text."""
+    texts = df.select(F.col(col).cast("string").alias(col)).where(F.length(F.trim(F.col(col))) > 0).withColumn("h", F.xxhash64(col))
+    again = cut(texts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
+    if again.count() <= BROADCAST_ROWS:
+        again = F.broadcast(again)
+    return texts.join(again, "h", "left").select(col, F.coalesce(1 / F.col("times"), F.lit(1.0)).alias("one"))
+
+
 def map_texts(df: DataFrame, schema: str, rows_of: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
     """Arrow batches through a function of one frame; an empty batch gives no rows."""
 

@@ -48,8 +48,6 @@ DIM = 4096
 CASE = -0.4
 #: A word has the full weight where fewer than 1 of 403 texts hold it, or fewer than ``OFTEN``.
 TOP_WEIGHT = 6.0
-#: Up to so many repeated texts their hashes are broadcast; beyond, the texts are shuffled.
-BROADCAST_ROWS = 1_000_000
 #: Words of the windows that a passage is scored in, beside the whole.
 WINDOWS = (8,)
 #: Word similarities below this are nothing.
@@ -382,12 +380,7 @@ def word_weights(documents: DataFrame) -> dict[str, float]:
 
     At most as many words are collected as 403 texts hold, however large the table is.
     """
-    texts = documents.select(F.col("text").cast("string").alias("text")).where("length(trim(text)) > 0").withColumn("h", F.xxhash64("text"))
-    #: A text that stands several times counts once.
-    again = C.cut(texts.groupBy("h").agg(F.count("*").alias("times")).where("times > 1"))
-    if again.count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    once = texts.join(again, "h", "left").select("text", F.coalesce(1 / F.col("times"), F.lit(1.0)).alias("one"))
+    once = C.once(documents, "text")
     words = F.explode(F.array_append(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))), F.lit(""))).alias("word")
     counts = C.cut(once.select(words, "one").groupBy("word").agg(F.round(F.sum("one"), 3).alias("n")))
     n = counts.where("word = ''").agg(F.sum("n")).first()[0] or 0.0

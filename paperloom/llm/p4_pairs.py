@@ -6,7 +6,8 @@ and answers that stay in the prompt's language (an exact comparison of word pair
 decides on copies). The likelihood that a text ends after its last tokens, from an
 n-gram model of token shapes, decides on truncated answers at the threshold
 ``END_LIKELIHOOD``; the automaton of problem 3 adds what it holds open and field limits,
-which no likelihood shows, and takes signatures and dates out. A word naive Bayes separates refusals of a model from letters
+which no likelihood shows, and takes signatures and dates out. The n-grams are counted over all answers, as are the words of answers that do not refuse; languages
+are learned from a bounded sample of labelled rows. A word naive Bayes separates refusals of a model from letters
 that refuse something.
 
 Cases: null or blank answers, and answers of punctuation or a bare lead-in, are
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,11 +34,12 @@ from . import langdata, p3_truncation, p6_residue
 from .exemplars import ANSWERS, REFUSALS
 from .p2_language import grams, weight, whole_sentences
 
-SAMPLE_ROWS = 3000
 END_LIKELIHOOD = 0.03
 COPY_SHARE = 0.6
 IN_TARGET = 0.2
 REFUSAL_SCORE = 0.7
+#: A term counts as seen in other answers where that moves its log odds by so much.
+LEAST_ODDS = 0.02
 LEAD_IN = re.compile(r"\A\s*(?:[`\"'*_ ]*)(?:[^\n.!?]{0,60}?(?:translation|übersetzung|traduction|traducción|tradução)[^\n.!?]{0,40}?[:：])[*_]*\s*", re.I)
 WRAP = re.compile(r"</?source_document>|^```\w*\s*$", re.M)
 
@@ -119,43 +122,78 @@ class EndModel:
     """Likelihood that a text ends after its last tokens: backed-off n-grams of token shapes.
 
     Words count as lower-case or capitalised, numbers as one shape, punctuation and line
-    ends as themselves; so the model knows no language and needs few texts. Fitted twice:
-    texts of the sample that the first model takes for unfinished are left out.
+    ends as themselves; so the model knows no language. A text is the string of its
+    shapes, one character each. Fitted twice: texts that the first model takes for
+    unfinished are left out. It holds the counts of the n-grams that texts end with.
     """
 
     TOKEN = re.compile(r"\n+|[^\W\d_]+|\d+|[^\w\s]|_")
+    ORDER = 6
+
+    def __init__(self, texts: list[str]):
+        kept = [(self.shapes(t.rstrip()), 1.0) for t in texts]
+        tails: Counter = Counter()
+        for t, n in kept:
+            tails[t[-self.ORDER :]] += n
+        wanted = self.wanted(tails)
+        self.fit(tails, self.grams(kept, wanted), lambda out: self.grams([x for x in kept if x[0][-self.ORDER :] in out], wanted))
+
+    @classmethod
+    def shapes(cls, t: str) -> str:
+        """A mark for the beginning, then one character a token."""
+        return "N" + "".join(("N" if len(x) > 1 else "n") if x[0] == "\n" else "9" if x[0].isdigit() else ("W" if x[0].isupper() else "w") if x[0].isalpha() else x for x in cls.TOKEN.findall(t))
+
+    @classmethod
+    def wanted(cls, tails: dict[str, float]) -> set[str]:
+        return {t[-n:] for t in tails for n in range(1, len(t) + 1)}
+
+    @classmethod
+    def grams(cls, texts: list[tuple[str, float]], wanted: set[str]) -> Counter:
+        """Occurrences of each wanted n-gram; under the empty one that of all tokens."""
+        out: Counter = Counter()
+        for share in sorted({one for _, one in texts}):
+            c: Counter = Counter()
+            for t, one in texts:
+                if one == share:
+                    c.update(t)
+                    c[""] += len(t)
+                    for n in range(2, cls.ORDER + 1):
+                        c.update([t[i : i + n] for i in range(len(t) - n + 1)])
+            for g in c.keys() & (wanted | {""}):
+                out[g] += c[g] * share
+        return out
 
-    def __init__(self, texts: list[str], order: int = 6):
-        self.order = order
-        self._count(texts)
-        self._count([t for t in texts if self.likelihood(t) >= END_LIKELIHOOD / 8])
-
-    def _count(self, texts: list[str]) -> None:
-        self.seen, self.ends, total = Counter(), Counter(), 0
-        for t in texts:
-            k = ["\n\n", *self._shapes(t.rstrip())]
-            for n in range(1, self.order + 1):
-                self.seen.update(tuple(k[i - n : i]) for i in range(n, len(k) + 1))
-                self.ends[tuple(k[-n:])] += 1
-            total += len(k)
-        self.base = len(texts) / max(1, total)
-
-    def _shapes(self, t: str) -> list[str]:
-        return ["\n" * min(2, len(x)) if x[0] == "\n" else "9" if x[0].isdigit() else ("W" if x[0].isupper() else "w") if x[0].isalpha() else x for x in self.TOKEN.findall(t)]
-
-    def likelihood(self, text: str) -> float:
-        t = text.rstrip()
-        k = self._shapes(t[-120:])
-        if len(k) <= self.order + 1:  # the tokens that count may lie further back
-            k = ["\n\n", *self._shapes(t)]
+    def fit(self, tails: dict[str, float], seen: dict[str, float], grams_of: Callable[[set[str]], dict[str, float]]) -> None:
+        """From the number of texts by their last shapes and of all n-grams; ``grams_of`` gives those of the texts left out."""
+        self._set(tails, seen)
+        out = {t for t in tails if self._likelihood(t) < END_LIKELIHOOD / 8}
+        if out:
+            less = grams_of(out)
+            self._set({t: n for t, n in tails.items() if t not in out}, {g: n - less.get(g, 0.0) for g, n in seen.items()})
+
+    def _set(self, tails: dict[str, float], seen: dict[str, float]) -> None:
+        self.seen, self.ends = dict(seen), Counter()
+        for t, c in tails.items():
+            for n in range(1, len(t) + 1):
+                self.ends[t[-n:]] += c
+        self.base = sum(tails.values()) / max(1.0, seen.get("", 0.0))
+
+    def _likelihood(self, tail: str) -> float:
         p = self.base
-        for n in range(1, self.order + 1):
-            c = tuple(k[-n:])
-            if len(c) < n or not self.seen[c]:
+        for n in range(1, len(tail) + 1):
+            c = tail[-n:]
+            if self.seen.get(c, 0.0) < 1e-6:
                 break
             p = (self.ends[c] + 4 * p) / (self.seen[c] + 4)
         return p
 
+    def likelihood(self, text: str) -> float:
+        t = text.rstrip()
+        k = self.shapes(t[-120:])
+        if len(k) <= self.ORDER + 2:  # the tokens that count may lie further back
+            k = self.shapes(t)
+        return self._likelihood(k[-self.ORDER :])
+
 
 class RefusalBayes:
     """Word and word-pair naive Bayes of refusals against other answers.
@@ -166,35 +204,36 @@ class RefusalBayes:
 
     ALPHA = 0.002
 
-    def __init__(self, refusals: list[str], letters: list[str], others: list[str]):
-        self.rate: list[dict[str, float]] = []
-        for texts in (refusals, letters, others):
-            c: Counter = Counter()
-            for t in texts:
-                c.update(set(self._terms(t)))
-            self.rate.append({k: n / len(texts) for k, n in c.items()})
+    def __init__(self, refusals: list[str], letters: list[str], others: dict[str | tuple[str, str], float]):
+        yes, letter = ({k: n / len(x) for k, n in Counter(w for t in x for w in set(self._terms(t))).items()} for x in (refusals, letters))
+        #: Log odds of each term that a class has seen; ``others`` holds shares of the sentences.
+        self.odds = {w: math.log(yes.get(w, 0.0) + self.ALPHA) - math.log(0.5 * letter.get(w, 0.0) + 0.5 * others.get(w, 0.0) + self.ALPHA) for w in {*yes, *letter, *others}}
 
     @staticmethod
-    def _terms(t: str) -> list[str]:
+    def _terms(t: str) -> list[str | tuple[str, str]]:
         ws = C.WORD.findall(t.lower())
-        return ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]
+        return [*ws, *zip(ws, ws[1:])]
 
     def score(self, t: str) -> float:
         """Mean log odds of a refusal over the sentence's terms."""
         terms = set(self._terms(t))
         if len(terms) < 3:
             return -1.0
-        yes, letter, other = self.rate
-        x = sum(math.log(yes.get(w, 0.0) + self.ALPHA) - math.log(0.5 * letter.get(w, 0.0) + 0.5 * other.get(w, 0.0) + self.ALPHA) for w in terms)
-        return x / len(terms)
+        return sum(self.odds[w] for w in terms if w in self.odds) / len(terms)
 
     def refuses(self, text: str) -> bool:
         """An answer of up to three sentences whose first refuses, or one that mostly refuses."""
         ss = [s for s in C.sentences(text) if weight(s) > 6]
         if not ss:
             return False
-        hits = [self.score(s) > REFUSAL_SCORE for s in ss]
-        return (hits[0] and len(ss) <= 3) or sum(hits) * 2 > len(ss)
+        hits = 0
+        for left, s in zip(range(len(ss) - 1, -1, -1), ss):
+            hits += self.score(s) > REFUSAL_SCORE
+            if hits * 2 > len(ss) or (hits and left == len(ss) - 1 and len(ss) <= 3):
+                return True
+            if (hits + left) * 2 <= len(ss) and (len(ss) > 3 or left < len(ss) - 1 or not hits):
+                return False  # the rest can't change it
+        return False
 
 
 def copied(source: str, answer: str) -> float:
@@ -206,13 +245,79 @@ def copied(source: str, answer: str) -> float:
     return sum((want & have).values()) / (len(b) - 1)
 
 
-def checked(results: DataFrame, documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def read_answers(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One pass over all answers: (shape, full, one) of each, and (term, n) over their sentences.
+
+    ``full`` are answers of twenty letters or more, which the end model is fitted on.
+    Terms come from the sentences that the labelled rows alone do not take for a
+    refusal; their number stands under the empty term. Each distinct answer counts once.
+    """
+    first = RefusalBayes(REFUSALS, ANSWERS, {})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            terms: Counter = Counter()
+            for t, one in zip(pdf["translation"], pdf["one"]):
+                own: Counter = Counter()
+                for s in C.sentences(t):
+                    ws = set(first._terms(s))
+                    if len(ws) < 3 or sum(first.odds.get(w, 0.0) for w in ws & first.odds.keys()) / len(ws) < REFUSAL_SCORE:
+                        own.update(ws)
+                        own[""] += 1
+                if one == 1.0:
+                    terms.update(own)
+                else:
+                    for w, n in own.items():
+                        terms[w] += n * one
+            yield pd.DataFrame({"shape": [EndModel.shapes(answer_text(t).rstrip()) for t in pdf["translation"]], "full": [weight(t) >= 20 for t in pdf["translation"]], "one": pdf["one"], "term": None, "n": 0.0})
+            yield pd.DataFrame({"shape": None, "full": False, "one": 0.0, "term": [w if isinstance(w, str) else " ".join(w) for w in terms], "n": [float(n) for n in terms.values()]})
+
+    rows = C.once(results, "translation").mapInPandas(run, "shape string, full boolean, one double, term string, n double")
+    rows = C.cut(rows)
+    return rows.where("shape is not null").select("shape", "full", "one"), rows.where("term is not null").select("term", "n")
+
+
+def end_model(shapes: DataFrame) -> EndModel:
+    """The end model of all answers; the driver sees their last shapes only."""
+    tail = F.expr(f"right(shape, {EndModel.ORDER})").alias("tail")
+    rows = shapes.groupBy(tail).agg(F.sum(F.when(F.col("full"), F.col("one")).otherwise(0.0)).alias("n")).collect()
+    tails = {r.tail: round(r.n, 6) for r in rows if r.n > 0}
+    wanted = shapes.sparkSession.sparkContext.broadcast(EndModel.wanted({r.tail: 0.0 for r in rows}))
+
+    def grams_of(df: DataFrame) -> dict[str, float]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame(list(EndModel.grams(list(zip(pdf["shape"], pdf["one"])), wanted.value).items()), columns=["gram", "n"])
+
+        got = df.select("shape", "one").mapInPandas(run, "gram string, n double").groupBy("gram").agg(F.sum("n").alias("n"))
+        return {r.gram: round(r.n, 6) for r in got.collect()}
+
+    def left_out(out: set[str]) -> dict[str, float]:
+        return grams_of(full.join(F.broadcast(shapes.sparkSession.createDataFrame([(t,) for t in sorted(out)], "tail string")), tail == F.col("tail"), "left_semi"))
+
+    full = shapes.where("full")
+    model = EndModel([])
+    if tails:
+        model.fit(tails, grams_of(full), left_out)
+    return model
+
+
+def other_answers(terms: DataFrame) -> dict[str | tuple[str, str], float]:
+    """The share of all sentences that hold each term, of the terms whose log odds it moves by ``LEAST_ODDS``.
+
+    At most as many terms are collected as ``1 / LEAST_ODDS / ALPHA`` sentences hold.
+    """
+    counts = C.cut(terms.groupBy("term").agg(F.round(F.sum("n"), 3).alias("n")))
+    n = counts.where("term = ''").agg(F.sum("n")).first()[0] or 0.0
+    return {tuple(r.term.split(" ")) if " " in r.term else r.term: r.n / n for r in counts.where((F.col("term") != "") & (F.col("n") > 2 * LEAST_ODDS * RefusalBayes.ALPHA * n)).collect()}
+
+
+def checked(results: DataFrame, documents: DataFrame) -> DataFrame:
     """Per result: what its pair of texts shows, short and without the texts."""
     bayes = LanguageBayes(langdata.labelled_sample(documents))
-    sample = C.sample_texts(results, "translation", sample_rows)
-    first = RefusalBayes(REFUSALS, ANSWERS, [])
-    refusal = RefusalBayes(REFUSALS, ANSWERS, [s for t in sample[:600] for s in C.sentences(t) if first.score(s) < REFUSAL_SCORE])
-    model = results.sparkSession.sparkContext.broadcast((bayes, EndModel([answer_text(t) for t in sample if weight(t) >= 20] or ["."]), refusal, p6_residue.index_for(results)))
+    shapes, terms = read_answers(results)
+    refusal = RefusalBayes(REFUSALS, ANSWERS, other_answers(terms))
+    model = results.sparkSession.sparkContext.broadcast((bayes, end_model(shapes), refusal, p6_residue.index_for(results)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bayes, ends, refusal, index = model.value

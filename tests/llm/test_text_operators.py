@@ -269,6 +269,20 @@ def test_pair_defects(spark):
     assert got == {30: "empty", 31: "empty", 32: "copy", 33: "copy", 34: "wrong_language", 35: "refusal", 36: "truncated"}
 
 
+def test_answers_are_counted_over_all_rows(spark):
+    """The end model and the words of other answers equal a count over every distinct answer."""
+    texts = [" ".join(sentence(k, *x) for x in triples(2 + n % 3, n))[: None if n % 9 else -7] for n in range(350) for k in ("en", "de")]
+    texts += ["Zuletzt kam der Zollbeamte."] * 3 + ["Zuletzt kam ein Zollbeamter!"]
+    r = spark.createDataFrame([("j", n, "f", {}, "x", t, False) for n, t in enumerate([*texts, None, " "])], schema.RESULTS)
+    shapes, terms = p4.read_answers(r)
+    got, want = p4.end_model(shapes), p4.EndModel(sorted(set(texts)))
+    assert all(abs(got.likelihood(t) - want.likelihood(t)) < 1e-9 for t in texts)
+    every = [set(p4.RefusalBayes._terms(s)) for t in set(texts) for s in C.sentences(t)]
+    for w, share in p4.other_answers(terms).items():
+        assert abs(share - sum(w in x for x in every) / len(every)) < 1e-6, w
+    assert "zuletzt" in p4.other_answers(terms) and ("zuletzt", "kam") in p4.other_answers(terms)
+
+
 def test_end_likelihood_decides_alone():
     texts = [" ".join(sentence(k, *x) for x in triples(5, n)) for n in range(200) for k in ("en", "de")]
     m = p4.EndModel(texts)
