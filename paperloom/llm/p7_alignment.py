@@ -13,10 +13,10 @@ covered by the other to ``COVER``; further sentences join a linked neighbour as
 if they add words of their own. What no chain passes is left without counterpart.
 
 The rarity of words is counted over all requested pairs. The lexicon is a translation
-model (IBM model 1), fitted for each pair of languages in a task of its own on at most
-``SAMPLE_ROWS`` requested results in all, drawn by hash within each pair of languages: a pair has all
-its results as long as they are fewer than its share. It is fitted first on sentences
-tied by unique points, then on the links found with its first form.
+model (IBM model 1) of all requested pairs: those of a pair of languages are split by
+hash into parts of about ``PART_ROWS`` results, each is fitted in a task of its own, and
+the expected counts of all parts are added up before probabilities are taken. A part is
+fitted first on sentences tied by unique points, then on the links found with its first form.
 
 Cases: null, empty or blank texts on either side give no rows; cost grows with the points, not with the
 product of the sentence counts; of equal chains the one that ends first is taken, of equal
@@ -40,12 +40,17 @@ from . import common as C
 from . import langdata
 from .p4_pairs import LanguageBayes
 
-SAMPLE_ROWS = 3000
+#: Results of one pair of languages that are fitted together, in a task; the parts' counts are added up.
+PART_ROWS = 500
+#: Expected counts of a part below this are not handed on; a word pair needs 1.2 in all.
+LEAST_COUNT = 0.01
 #: Up to so many requests their keys are broadcast; beyond, the texts are shuffled.
 BROADCAST_ROWS = 200_000
 #: The weight of numbers, and of every word that stands in less than 1 of 403 sentences.
 TOP_WEIGHT = 6.0
 COVER = 0.42
+#: Word pairs of the lexicon have a greater expected count and probability than these.
+LEAST_TIES, LEAST_P = 1.2, 0.03
 #: A word with more places than this, source times target, gives no points.
 AMBIGUITY = 16
 #: Cells of less point weight, or of less than ``NOISE`` of the heaviest of their row and of their column, are noise.
@@ -99,7 +104,8 @@ class Lexicon:
         self.idf = {w: math.log((1 + n) / (1 + c)) for w, c in df.items()}
 
     @staticmethod
-    def _model(pairs: list[tuple[list[str], list[str]]], rounds: int = 5) -> dict[str, dict[str, float]]:
+    def _counts(pairs: list[tuple[list[str], list[str]]], rounds: int = 5) -> tuple[dict[tuple[str, str], float], dict[str, float]]:
+        """Expected counts of word pairs, and of source words with any word."""
         a: dict[str, int] = {}
         b: dict[str, int] = {}
         src, tgt, own = [], [], []
@@ -115,7 +121,7 @@ class Lexicon:
                 own += [k] * len(si)
                 k += 1
         if not src:
-            return {}
+            return {}, {}
         src, tgt, own = np.array(src), np.array(tgt), np.array(own)
         key, inv = np.unique(src * len(b) + tgt, return_inverse=True)
         p = np.ones(len(key))
@@ -123,11 +129,17 @@ class Lexicon:
             v = p[inv]
             v = v / np.bincount(own, v, k)[own]
             count = np.bincount(inv, v, len(key))
-            p = count / np.bincount(key // len(b), count, len(a))[key // len(b)]
+            total = np.bincount(key // len(b), count, len(a))
+            p = count / total[key // len(b)]
         an, bn = list(a), list(b)
+        return {(an[key[i] // len(b)], bn[key[i] % len(b)]): float(count[i]) for i in np.flatnonzero(count >= LEAST_COUNT)}, dict(zip(an, total.tolist()))
+
+    @staticmethod
+    def _table(counts: dict[tuple[str, str], float], totals: dict[str, float]) -> dict[str, dict[str, float]]:
         to: dict[str, dict[str, float]] = {}
-        for i in np.flatnonzero((p > 0.03) & (count > 1.2)):
-            to.setdefault(an[key[i] // len(b)], {})[bn[key[i] % len(b)]] = float(p[i])
+        for (w, x), n in counts.items():
+            if n > LEAST_TIES and n > LEAST_P * totals[w]:
+                to.setdefault(w, {})[x] = n / totals[w]
         return to
 
 
@@ -389,8 +401,19 @@ def sample_pairs(pairs: DataFrame, scanned: DataFrame, rows: int) -> DataFrame:
     return pairs.join(F.broadcast(drawn), ["job_id", "file_index"]).select("a", "b", "extracted_text", "translation").distinct()
 
 
-def fit_pair(docs: list[tuple[list[list[str]], list[list[str]]]], langs: tuple[str, str], lex: Lexicon) -> tuple[dict[str, dict[str, float]], dict[str, dict[str, float]]]:
-    """The word tables of one pair of languages, both ways, from the sentences of its pairs of texts."""
+def all_pairs(pairs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(a, b, part, extracted_text, translation) of every result; a part has about ``PART_ROWS`` results of two languages, either way round."""
+    langs = scanned.where("word is null AND a <> '' AND b <> '' AND a <> b").select("job_id", "file_index", "a", "b").distinct()
+    langs = langs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+    parts = langs.groupBy("low", "high").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    langs = langs.join(F.broadcast(parts), ["low", "high"]).withColumn("part", F.pmod(F.xxhash64("job_id", "file_index"), F.col("parts")).cast("int"))
+    if langs.count() <= BROADCAST_ROWS:
+        langs = F.broadcast(langs)
+    return pairs.join(langs, ["job_id", "file_index"]).select("a", "b", "part", "extracted_text", "translation")
+
+
+def fit_counts(docs: list[tuple[list[list[str]], list[list[str]]]], langs: tuple[str, str], lex: Lexicon) -> tuple[tuple, tuple]:
+    """Expected counts of word pairs of two languages, both ways, from the sentences of their pairs of texts."""
     ties = []
     for s, t in docs:
         space = Space(s, t, lex, langs)
@@ -405,37 +428,48 @@ def fit_pair(docs: list[tuple[list[list[str]], list[list[str]]]], langs: tuple[s
             if k - i == l - j == 2:
                 ties.append((s[i + 1], t[j + 1]))
     for _ in range(2):
-        lex.by_pair[langs] = lex._model(ties)
+        lex.by_pair[langs] = lex._table(*lex._counts(ties))
         ties = [(s[i], t[j]) for s, t in docs for i, j, v in blocks(s, t, lex, langs) if v > 0.45]
-    return lex._model(ties), lex._model([(t, s) for s, t in ties])
+    return lex._counts(ties), lex._counts([(t, s) for s, t in ties])
+
+
+def fit_pair(docs: list[tuple[list[list[str]], list[list[str]]]], langs: tuple[str, str], lex: Lexicon) -> tuple[dict[str, dict[str, float]], dict[str, dict[str, float]]]:
+    """The word tables of one pair of languages, both ways."""
+    ahead, back = fit_counts(docs, langs, lex)
+    return lex._table(*ahead), lex._table(*back)
 
 
 def fit(drawn: DataFrame, counts: tuple[dict[str, int], int]) -> Lexicon:
-    """The lexicon, each pair of languages (either way round) in a task of its own; rarity from the counts."""
+    """The lexicon from the parts of each pair of languages (either way round), each in a task of its own; rarity from the counts."""
     spark = drawn.sparkSession
     lex = Lexicon()
     lex.fit_idf(*counts)
     shared = spark.sparkContext.broadcast(lex)
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = key
-        pdf = pdf.sort_values(["extracted_text", "translation"])
+        a, b, _ = key
+        pdf = pdf.drop_duplicates(["a", "extracted_text", "translation"]).sort_values(["extracted_text", "translation"])
         docs = [([tokens(x) for x in numbered(e)], [tokens(x) for x in numbered(t)], x == a) for e, t, x in zip(pdf["extracted_text"], pdf["translation"], pdf["a"])]
         own = Lexicon()
         own.idf, own.top = shared.value.idf, shared.value.top
-        tables = fit_pair([(s, t) if ahead else (t, s) for s, t, ahead in docs if s and t], (a, b), own)
-        rows = [(*k, w, x, p) for k, to in zip(((a, b), (b, a)), tables) for w, v in to.items() for x, p in v.items()]
-        return pd.DataFrame(rows, columns=["a", "b", "src", "tgt", "p"])
+        both = fit_counts([(s, t) if ahead else (t, s) for s, t, ahead in docs if s and t], (a, b), own)
+        rows = [(*k, w, x, n) for k, (counts, _) in zip(((a, b), (b, a)), both) for (w, x), n in counts.items()]
+        rows += [(*k, w, "", n) for k, (_, totals) in zip(((a, b), (b, a)), both) for w, n in totals.items()]
+        return pd.DataFrame(rows, columns=["a", "b", "src", "tgt", "n"])
 
     drawn = drawn.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
-    drawn = drawn.repartition(max(8, spark.sparkContext.defaultParallelism), "low", "high")  # a number of our own: small groups would else share one task
-    for a, b, w, x, p in drawn.groupBy("low", "high").applyInPandas(one, "a string, b string, src string, tgt string, p double").collect():
+    tasks = drawn.select("low", "high", "part").distinct().count()
+    drawn = drawn.repartition(max(8, spark.sparkContext.defaultParallelism, tasks // 2), "low", "high", "part")  # a number of our own: small groups would else share one task
+    counts = C.cut(drawn.groupBy("low", "high", "part").applyInPandas(one, "a string, b string, src string, tgt string, n double").groupBy("a", "b", "src", "tgt").agg(F.round(F.sum("n"), 6).alias("n")))
+    totals = counts.where("tgt = ''").select("a", "b", "src", F.col("n").alias("total"))
+    table = counts.where((F.col("tgt") != "") & (F.col("n") > LEAST_TIES)).join(totals, ["a", "b", "src"]).where(F.col("n") > LEAST_P * F.col("total"))
+    for a, b, w, x, p in table.select("a", "b", "src", "tgt", F.col("n") / F.col("total")).orderBy("a", "b", "src", "tgt").collect():
         lex.by_pair.setdefault((a, b), {}).setdefault(w, {})[x] = p
     return lex
 
 
-def aligned(requests: DataFrame, results: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(job_id, file_index, src_no, tgt_no, score) for the requested results."""
+def aligned(requests: DataFrame, results: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """(job_id, file_index, src_no, tgt_no, score) for the requested results; the lexicon may be fitted on at most ``sample_rows`` of them."""
     spark = results.sparkSession
     both = results.select("job_id", F.col("file_index").cast("int").alias("file_index"), "extracted_text", "translation").where("length(trim(extracted_text)) > 0 and length(trim(translation)) > 0")
     keys = requests.select("job_id", F.col("file_index").cast("int").alias("file_index")).distinct()
@@ -443,7 +477,8 @@ def aligned(requests: DataFrame, results: DataFrame, sample_rows: int = SAMPLE_R
         keys = F.broadcast(keys)
     pairs = both.join(keys, ["job_id", "file_index"], "left_semi")
     scanned = scan(pairs)
-    model = spark.sparkContext.broadcast((fit(sample_pairs(pairs, scanned, sample_rows), rarity(scanned)), Languages()))
+    drawn = all_pairs(pairs, scanned) if sample_rows is None else sample_pairs(pairs, scanned, sample_rows).withColumn("part", F.lit(0))
+    model = spark.sparkContext.broadcast((fit(drawn, rarity(scanned)), Languages()))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         (lex, who), rows = model.value, []

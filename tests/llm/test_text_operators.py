@@ -446,6 +446,24 @@ def test_lexicon_and_rarity_see_more_than_the_first_rows(spark):
     assert p7.quotas({("a", "b"): 5, ("c", "d"): 1000, ("e", "f"): 80}, 100) == {("a", "b"): 5, ("c", "d"): 48, ("e", "f"): 47}
 
 
+def test_lexicon_holds_the_words_of_every_requested_result(spark, monkeypatch):
+    """Parts fitted apart add up: none of the requested results is left out."""
+    text = lambda lang, n: " ".join(sentence(lang, *x) for x in triples(6, n))
+    rows = [("a", n, "f", {}, text("en", n), text("de", n), False) for n in range(60)]
+    r = spark.createDataFrame(rows, schema.RESULTS)
+    both = r.select("job_id", "file_index", "extracted_text", "translation")
+    scanned = p7.scan(both)
+    monkeypatch.setattr(p7, "PART_ROWS", 10)
+    drawn = p7.all_pairs(both, scanned)
+    assert drawn.count() == 60 and drawn.select("part").distinct().count() > 3
+    lex = p7.fit(drawn, p7.rarity(scanned))
+    assert max(lex.by_pair["en", "de"]["widow"], key=lex.by_pair["en", "de"]["widow"].get) == "witwe"
+    seen = []
+    monkeypatch.setattr(p7, "fit", lambda drawn, counts: seen.append(drawn.count()) or lex)
+    p7.aligned(spark.createDataFrame([(x[0], x[1]) for x in rows], ALIGN), r)
+    assert seen == [60]
+
+
 # ---------------------------------------------------------------- 8
 
 
