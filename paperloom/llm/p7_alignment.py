@@ -18,6 +18,10 @@ hash into parts of about ``PART_ROWS`` results, each is fitted in a task of its
 the expected counts of all parts are added up before probabilities are taken. A part is
 fitted first on sentences tied by unique points, then on the links found with its first form.
 
+Texts are split, numbered and read for their language once (``scan``); fitting and alignment
+take the tokens from there. The spaces of many pairs of texts are searched together
+(``Spaces``), with words as numbers; only the chains run pair by pair.
+
 Cases: null, empty or blank texts on either side give no rows; cost grows with the points, not with the
 product of the sentence counts; of equal chains the one that ends first is taken, of equal
 cells the lower numbers; repeated rows give one result; an empty table gives no rows.
@@ -25,14 +29,16 @@ cells the lower numbers; repeated rows give one result; an empty table gives no
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +66,15 @@ REACH = 16
 MAX_DEVIATION = 0.75
 #: What a cell must bring to a chain, and what a skipped sentence costs it.
 DUE, SKIP = 0.3, 0.02
+#: Matches that are held against cells at once, and letters of texts that are aligned at once.
+AT_ONCE = 1 << 20
 #: A block must be worth so much of the best cell of either of its sentences.
 RIVAL = 0.8
 SPLIT = re.compile(r"(?<=[.!?])\s+")
 TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*|[^\W_]*\d[\w.,\-]*\d|\d")
 JOINED = re.compile(r"(?<=[^\W\d_])[-¬‐­]\s*\n\s*(?=[a-zß-ÿ])")
+#: Word pairs by the words' numbers: source words, target words, and a count or probability of each.
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def numbered(text: str | None) -> list[str]:
@@ -80,8 +90,8 @@ def fold(w: str) -> str:
 
 def tokens(sentence: str) -> list[str]:
     """Lower-case tokens; numbers without separators."""
-    s = JOINED.sub("", sentence)
-    return [re.sub(r"[.,]", "", t) if t[-1].isdigit() else t.lower() for t in TOKEN.findall(s)]
+    s = JOINED.sub("", sentence) if "\n" in sentence else sentence
+    return [t.replace(".", "").replace(",", "") if t[-1].isdigit() else t.lower() for t in TOKEN.findall(s)]
 
 
 class Lexicon:
@@ -103,131 +113,215 @@ class Lexicon:
         self.top = math.log(1 + n)
         self.idf = {w: math.log((1 + n) / (1 + c)) for w, c in df.items()}
 
-    @staticmethod
-    def _counts(pairs: list[tuple[list[str], list[str]]], rounds: int = 5) -> tuple[dict[tuple[str, str], float], dict[str, float]]:
-        """Expected counts of word pairs, and of source words with any word."""
-        a: dict[str, int] = {}
-        b: dict[str, int] = {}
-        src, tgt, own = [], [], []
-        k = 0
-        for s, t in pairs:
-            if not s or not t or len(s) > 60 or len(t) > 60:
-                continue
-            si = [a.setdefault(w, len(a)) for w in set(s)]
-            for w in set(t):
-                j = b.setdefault(w, len(b))
-                src += si
-                tgt += [j] * len(si)
-                own += [k] * len(si)
-                k += 1
-        if not src:
-            return {}, {}
-        src, tgt, own = np.array(src), np.array(tgt), np.array(own)
-        key, inv = np.unique(src * len(b) + tgt, return_inverse=True)
-        p = np.ones(len(key))
-        for _ in range(rounds):
-            v = p[inv]
-            v = v / np.bincount(own, v, k)[own]
-            count = np.bincount(inv, v, len(key))
-            total = np.bincount(key // len(b), count, len(a))
-            p = count / total[key // len(b)]
-        an, bn = list(a), list(b)
-        return {(an[key[i] // len(b)], bn[key[i] % len(b)]): float(count[i]) for i in np.flatnonzero(count >= LEAST_COUNT)}, dict(zip(an, total.tolist()))
-
-    @staticmethod
-    def _table(counts: dict[tuple[str, str], float], totals: dict[str, float]) -> dict[str, dict[str, float]]:
-        to: dict[str, dict[str, float]] = {}
-        for (w, x), n in counts.items():
-            if n > LEAST_TIES and n > LEAST_P * totals[w]:
-                to.setdefault(w, {})[x] = n / totals[w]
-        return to
-
-
-def cognate(a: str, b: str) -> bool:
-    """Words of five letters or more that share most of their beginning."""
-    if len(a) < 5 or len(b) < 5 or a[0] != b[0]:
-        return False
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n >= 5 or n >= 0.7 * max(len(a), len(b))
+    def table(self, langs: tuple[str, str], vocab: dict[str, int]) -> Table:
+        """The word pairs of two languages of which both words are numbered, by those numbers."""
+        to = self.by_pair.get(langs, {})
+        rows = [(i, vocab[x], p) for w, i in vocab.items() if w in to for x, p in to[w].items() if x in vocab]
+        w, x, p = zip(*rows) if rows else ((), (), ())
+        return np.array(w, np.int64), np.array(x, np.int64), np.array(p, float)
+
+
+def expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The owners 0, 1, ... as often as n has it, and the elements' numbers within each owner."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+class Side:
+    """The sentences of one side of many pairs of texts, numbered through; their distinct words by number."""
+
+    def __init__(self, texts: list[list[list[str]]], vocab: dict[str, int]):
+        word, n, doc, size, letters = [], [], [], [], []
+        for d, text in enumerate(texts):
+            for x in text:
+                ws = [vocab.setdefault(w, len(vocab)) for w in dict.fromkeys(x)]
+                word += ws
+                n.append(len(ws))
+                doc.append(d)
+                size.append(len(x))
+                letters.append(sum(map(len, x)) + 1)
+        #: Per sentence: its text, its tokens, its letters, its distinct words and the first of these.
+        self.doc, self.size, self.letters, self.n = (np.array(x, np.int64) for x in (doc, size, letters, n))
+        self.first = np.cumsum(self.n) - self.n
+        #: Per distinct word of a sentence.
+        self.word, self.sent = np.array(word, np.int64), np.repeat(np.arange(len(n)), self.n)
+        #: The first sentence of each text, and the end.
+        self.begin = np.searchsorted(self.doc, np.arange(len(texts) + 1))
+
+    def group(self, size: int) -> None:
+        """Groups: a word of a text, and the sentences that hold it."""
+        key = self.doc[self.sent] * size + self.word
+        order = np.argsort(key, kind="stable")
+        at = begins(key[order])
+        self.key, self.count, self.start = key[order][at], np.diff(np.append(at, len(key))), at
+        self.text, self.of = np.divmod(self.key, size)
+        self.members = self.sent[order]
+        self.own = np.empty(len(key), np.int64)
+        self.own[order] = np.repeat(np.arange(len(at)), self.count)
+
+    def middles(self, d: int) -> list[float]:
+        """The middle of each sentence of a text, in letters from its beginning."""
+        n = self.letters[self.begin[d] : self.begin[d + 1]]
+        return (np.cumsum(n) - n / 2).tolist()
+
+
+class Spaces:
+    """The bitext spaces of many pairs of texts of two languages: corresponding words, cells, and covers of cells.
+
+    What doesn't depend on the lexicon is found once; ``match`` takes a lexicon's word pairs in.
+    """
+
+    def __init__(self, docs: list[tuple[list[list[str]], list[list[str]]]], lex: Lexicon):
+        self.vocab: dict[str, int] = {}
+        self.s, self.t = s, t = Side([x for x, _ in docs], self.vocab), Side([x for _, x in docs], self.vocab)
+        size = max(1, len(self.vocab))
+        s.group(size)
+        t.group(size)
+        self.docs, self.size = len(docs), size
+        self.weight = np.array([lex.weight(w) for w in self.vocab], float)
+        self.sums = tuple(np.maximum(np.bincount(x.sent, self.weight[x.word], len(x.n)), 1e-9) for x in (s, t))
+        self.lettered = np.array([not w[-1].isdigit() for w in self.vocab], bool)
+        self.holds = np.sort(t.sent * max(1, len(t.key)) + t.own)
+        same = self._find(s.key)
+        #: Words that correspond whatever the lexicon has: source group, target group, strength.
+        self.equal = np.flatnonzero(same >= 0), same[same >= 0]
+        self.alike = self._cognates()
+        self.match(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The target groups of these keys, or -1."""
+        if not len(self.t.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.t.key, key), len(self.t.key) - 1)
+        return np.where(self.t.key[at] == key, at, -1)
+
+    def _cognates(self) -> tuple[np.ndarray, np.ndarray]:
+        """Groups of one text whose words have five letters or more and share most of their beginning.
+
+        That is the first five; of words of just five letters the first four.
+        """
+        stems: dict[str, int] = {}
+        five, four = np.full(self.size, -1), np.full(self.size, -1)
+        for w, i in self.vocab.items():
+            f = fold(w)
+            if len(f) >= 5:
+                five[i] = stems.setdefault(f[:5], len(stems))
+                if len(f) == 5:
+                    four[i] = stems.setdefault(f[:4], len(stems))
+        out = []
+        for stem in (five, four):
+            g = np.flatnonzero(self.lettered[self.s.of] & (stem[self.s.of] >= 0)) if len(self.s.of) else np.zeros(0, np.int64)
+            h = np.flatnonzero(stem[self.t.of] >= 0) if len(self.t.of) else np.zeros(0, np.int64)
+            width = len(stems) + 1
+            key = self.t.text[h] * width + stem[self.t.of[h]]
+            order = np.argsort(key, kind="stable")
+            key, h = key[order], h[order]
+            want = self.s.text[g] * width + stem[self.s.of[g]]
+            low = np.searchsorted(key, want)
+            own, no = expand(np.searchsorted(key, want, "right") - low)
+            out.append((g[own], h[low[own] + no]))
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+    def match(self, w: np.ndarray, x: np.ndarray, p: np.ndarray) -> None:
+        """Takes in word pairs of a lexicon, and finds the cells."""
+        s, t = self.s, self.t
+        order = np.argsort(w, kind="stable")
+        w, x, p = w[order], x[order], p[order]
+        low = np.searchsorted(w, s.of)
+        own, no = expand(np.where(self.lettered[s.of], np.searchsorted(w, s.of, "right") - low, 0) if len(s.of) else np.zeros(0, np.int64))
+        pair = low[own] + no
+        to = self._find(s.text[own] * self.size + x[pair])
+        hit = to >= 0
+        g = np.concatenate([self.equal[0], own[hit], self.alike[0]])
+        h = np.concatenate([self.equal[1], to[hit], self.alike[1]])
+        strength = np.concatenate([np.ones(len(self.equal[0])), np.minimum(1.0, 0.5 + p[pair[hit]]), np.full(len(self.alike[0]), 0.8)])
+        #: Equal words first, then the lexicon's, then cognates.
+        _, first = np.unique(g * max(1, len(t.key)) + h, return_index=True)
+        self.g, self.h, self.p = g[first], h[first], strength[first]
+        self.at = np.searchsorted(self.g, np.arange(len(s.key) + 1))
+        few = np.flatnonzero(s.count[self.g] * t.count[self.h] <= AMBIGUITY)
+        rows, cols = s.count[self.g[few]], t.count[self.h[few]]
+        own, no = expand(rows * cols)
+        a, b = np.divmod(no, cols[own])
+        i, j = s.members[s.start[self.g[few]][own] + a], t.members[t.start[self.h[few]][own] + b]
+        value = self.weight[s.of[self.g[few]]] * self.p[few] / cols
+        cell, inverse = np.unique(i * max(1, len(t.n)) + j, return_inverse=True)
+        #: Cells in order: source and target sentence, weight of their points.
+        self.i, self.j = np.divmod(cell, max(1, len(t.n)))
+        self.v = np.bincount(inverse, value[own], len(cell))
+
+    def kept(self) -> np.ndarray:
+        """Which cells are no noise."""
+        row, col = np.zeros(len(self.s.n)), np.zeros(len(self.t.n))
+        np.maximum.at(row, self.i, self.v)
+        np.maximum.at(col, self.j, self.v)
+        return (self.v >= LIGHT) & ((self.v >= NOISE * row[self.i]) | (self.v >= NOISE * col[self.j]))
+
+    def covers(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the weight of source sentences i and of target sentences j that have a counterpart in the other."""
+        of_word = np.diff(self.at)[self.s.own]
+        work = np.cumsum(np.bincount(self.s.sent, of_word, len(self.s.n))[i]) // AT_ONCE
+        at = begins(work).tolist()
+        out = [self._covers(i[a:b], j[a:b], of_word) for a, b in zip(at, [*at[1:], len(i)])]
+        return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0) for k in (0, 1))
+
+    def _covers(self, i: np.ndarray, j: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, t, groups = self.s, self.t, max(1, len(self.t.key))
+        cell, no = expand(s.n[i])
+        entry = s.first[i][cell] + no
+        own, no = expand(of_word[entry])
+        pair = self.at[s.own[entry]][own] + no
+        cell, h = cell[own], self.h[pair]
+        key = j[cell] * groups + h
+        hit = np.flatnonzero(self.holds[np.minimum(np.searchsorted(self.holds, key), len(self.holds) - 1)] == key) if len(key) else key
+        own, cell, h, p = own[hit], cell[hit], h[hit], self.p[pair[hit]]
+        at = begins(own)
+        got = np.bincount(cell[at], (np.maximum.reduceat(p, at) if len(at) else p) * self.weight[s.word[entry[own[at]]]], len(i))
+        key = cell * groups + h
+        order = np.argsort(key, kind="stable")
+        at = begins(key[order])
+        back = np.bincount(cell[order][at], (np.maximum.reduceat(p[order], at) if len(at) else p) * self.weight[t.of[h[order][at]]], len(i))
+        return got / self.sums[0][i], back / self.sums[1][j]
+
+    def blocks(self, cover: float = COVER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of all texts: source sentence, target sentence, score."""
+        keep = np.flatnonzero(self.kept())
+        i, j = self.i[keep], self.j[keep]
+        cs, ct = self.covers(i, j)
+        gain = 0.5 * np.maximum(cs, ct) + 0.5 * np.sqrt(cs * ct) - DUE
+        at = np.searchsorted(self.s.doc[i], np.arange(self.docs + 1))
+        i, j, gain, both = i.tolist(), j.tolist(), gain.tolist(), list(zip(cs.tolist(), ct.tolist()))
+        out: list[tuple[int, int, float]] = []
+        for d in range(self.docs):
+            a, b = at[d], at[d + 1]
+            if a < b:
+                x, y = int(self.s.begin[d]), int(self.t.begin[d])
+                cells = [(i[k] - x, j[k] - y) for k in range(a, b)]
+                out += [(k + x, m + y, v) for k, m, v in claimed(dict(zip(cells, gain[a:b])), dict(zip(cells, both[a:b])), self.s.middles(d), self.t.middles(d), cover)]
+        k, m, v = zip(*out) if out else ((), (), ())
+        return np.array(k, np.int64), np.array(m, np.int64), np.array(v, float)
 
 
 class Space:
-    """The bitext space of two texts: corresponding words, their cells, and covers of cells on demand."""
+    """The bitext space of two texts."""
 
     def __init__(self, s: list[list[str]], t: list[list[str]], lex: Lexicon, langs: tuple[str, str]):
-        self.s, self.t = [set(x) for x in s], [set(x) for x in t]
-        self.weight = lex.weight
-        self.sum_s, self.sum_t = [sum(map(lex.weight, x)) for x in self.s], [sum(map(lex.weight, x)) for x in self.t]
-        at_s: dict[str, list[int]] = {}
-        at_t: dict[str, list[int]] = {}
-        for at, texts in ((at_s, self.s), (at_t, self.t)):
-            for i, ws in enumerate(texts):
-                for w in ws:
-                    at.setdefault(w, []).append(i)
-        stems: dict[str, list[tuple[str, str]]] = {}
-        for w in at_t:
-            f = fold(w)
-            if len(f) >= 5:
-                stems.setdefault(f[:4], []).append((w, f))
-        to = lex.by_pair.get(langs, {})
-        #: Source word -> target word -> strength of the correspondence.
-        self.match: dict[str, dict[str, float]] = {}
-        self.cells: dict[tuple[int, int], float] = {}
-        for w, rows in at_s.items():
-            have = {}
-            if w in at_t:
-                have[w] = 1.0
-            if not w[-1].isdigit():
-                for x, p in to.get(w, {}).items():
-                    if x in at_t and x not in have:
-                        have[x] = min(1.0, 0.5 + p)
-                f = fold(w)
-                if len(f) >= 5:
-                    for x, g in stems.get(f[:4], ()):
-                        if x not in have and cognate(f, g):
-                            have[x] = 0.8
-            if not have:
-                continue
-            self.match[w] = have
-            v = lex.weight(w)
-            for x, p in have.items():
-                cols = at_t[x]
-                if len(rows) * len(cols) <= AMBIGUITY:
-                    for i in rows:
-                        for j in cols:
-                            self.cells[i, j] = self.cells.get((i, j), 0.0) + v * p / len(cols)
-        self.known: dict[tuple[int, int], tuple[float, float]] = {}
+        self.all = Spaces([(s, t)], lex)
+        self.all.match(*lex.table(langs, self.all.vocab))
+        self.cells = {(i, j): v for i, j, v in zip(self.all.i.tolist(), self.all.j.tolist(), self.all.v.tolist())}
 
     def covers(self, i: int, j: int) -> tuple[float, float]:
         """Shares of the weight of source sentence i and of target sentence j that have a counterpart in the other."""
-        c = self.known.get((i, j))
-        if c is None:
-            t, got, back = self.t[j], 0.0, {}
-            for w in self.s[i]:
-                have = self.match.get(w)
-                if have:
-                    best = 0.0
-                    for x, p in have.items():
-                        if x in t:
-                            if p > best:
-                                best = p
-                            if p > back.get(x, 0.0):
-                                back[x] = p
-                    got += best * self.weight(w)
-            c = self.known[i, j] = got / max(self.sum_s[i], 1e-9), sum(p * self.weight(x) for x, p in back.items()) / max(self.sum_t[j], 1e-9)
-        return c
+        a, b = self.all.covers(np.array([i]), np.array([j]))
+        return float(a[0]), float(b[0])
 
     def kept(self) -> list[tuple[int, int]]:
         """Cells that are no noise, in order."""
-        row: dict[int, float] = {}
-        col: dict[int, float] = {}
-        for (i, j), v in self.cells.items():
-            row[i], col[j] = max(row.get(i, 0.0), v), max(col.get(j, 0.0), v)
-        return sorted(c for c, v in self.cells.items() if v >= LIGHT and (v >= NOISE * row[c[0]] or v >= NOISE * col[c[1]]))
+        return [c for c, k in zip(self.cells, self.all.kept()) if k]
 
 
 def chains(cells: list[tuple[int, int]], gain: dict[tuple[int, int], float], xs: list[float], ys: list[float], slope: float) -> list[list[tuple[int, int]]]:
@@ -270,16 +364,8 @@ def chains(cells: list[tuple[int, int]], gain: dict[tuple[int, int], float], xs:
     return out
 
 
-def blocks(s: list[list[str]], t: list[list[str]], lex: Lexicon, langs: tuple[str, str], cover: float = COVER) -> list[tuple[int, int, float]]:
-    """Links (source, target, score) between the sentences of two texts."""
-    if not s or not t:
-        return []
-    space = Space(s, t, lex, langs)
-    gain = {}
-    for i, j in space.kept():
-        cs, ct = space.covers(i, j)
-        gain[i, j] = 0.5 * max(cs, ct) + 0.5 * math.sqrt(cs * ct) - DUE
-    xs, ys = middles(s), middles(t)
+def claimed(gain: dict[tuple[int, int], float], covers: dict[tuple[int, int], tuple[float, float]], xs: list[float], ys: list[float], cover: float) -> list[tuple[int, int, float]]:
+    """Links (source, target, score) of two texts, from their cells."""
     slope = max(ys[-1], 1.0) / max(xs[-1], 1.0)
     of_s: dict[int, list[int]] = {}
     of_t: dict[int, list[int]] = {}
@@ -294,7 +380,7 @@ def blocks(s: list[list[str]], t: list[list[str]], lex: Lexicon, langs: tuple[st
         for chain in chains(alive, gain, xs, ys, slope):
             #: The strongest cells of a chain claim their sentences first.
             for i, j in sorted(chain, key=lambda c: (-gain[c], c)):
-                cs, ct = space.covers(i, j)
+                cs, ct = covers[i, j]
                 both = math.sqrt(cs * ct)
                 new_i, new_j = i not in of_s, j not in of_t
                 if new_i and new_j:
@@ -318,14 +404,11 @@ def blocks(s: list[list[str]], t: list[list[str]], lex: Lexicon, langs: tuple[st
     return [(i, j, v) for (i, j), v in sorted(links.items())]
 
 
-def middles(s: list[list[str]]) -> list[float]:
-    """The middle of each sentence, in letters from the beginning of the text."""
-    out, at = [], 0
-    for x in s:
-        n = sum(map(len, x)) + 1
-        out.append(at + n / 2)
-        at += n
-    return out
+def blocks(s: list[list[str]], t: list[list[str]], lex: Lexicon, langs: tuple[str, str], cover: float = COVER) -> list[tuple[int, int, float]]:
+    """Links (source, target, score) between the sentences of two texts."""
+    space = Spaces([(s, t)], lex)
+    space.match(*lex.table(langs, space.vocab))
+    return list(zip(*(x.tolist() for x in space.blocks(cover))))
 
 
 class Languages:
@@ -335,35 +418,56 @@ class Languages:
         self.bayes = LanguageBayes([(k, v) for k, v in langdata.SEEDS.items() if k in langdata.LANGS])
 
     def of(self, sentences: list[str]) -> str:
-        if not sentences:
-            return ""
-        p = self.bayes.posteriors(sentences) * np.array([[len(s)] for s in sentences])
-        return self.bayes.codes[int(p.sum(0).argmax())]
+        return self.each([sentences])[0]
+
+    def each(self, texts: list[list[str]]) -> list[str]:
+        """The language of each text; none for a text without sentences."""
+        out = [""] * len(texts)
+        for k in range(0, len(texts), 500):
+            has = [i for i in range(k, min(k + 500, len(texts))) if texts[i]]
+            if has:
+                flat = [s for i in has for s in texts[i]]
+                n = [len(texts[i]) for i in has]
+                p = np.add.reduceat(self.bayes.posteriors(flat) * np.array([[len(s)] for s in flat]), np.cumsum(n) - n, axis=0)
+                for i, best in zip(has, p.argmax(1)):
+                    out[i] = self.bayes.codes[int(best)]
+        return out
+
+
+def word_counts(texts: list[list[list[str]]]) -> tuple[Counter, int]:
+    """The number of sentences that hold each word, and of all sentences."""
+    return Counter(itertools.chain.from_iterable(set(s) for t in texts for s in t)), sum(map(len, texts))
 
 
 def sentence_counts(texts: list[str]) -> tuple[Counter, int]:
-    """The number of sentences that hold each word, and of all sentences."""
-    df: Counter = Counter()
-    n = 0
-    for t in texts:
-        for s in numbered(t):
-            df.update(set(tokens(s)))
-            n += 1
-    return df, n
+    """``word_counts`` of texts as they are stored."""
+    return word_counts([[tokens(s) for s in numbered(t)] for t in texts])
+
+
+def packed(text: list[list[str]]) -> str:
+    """A line for each sentence, its tokens between blanks; neither stands in a token."""
+    return "\n".join(map(" ".join, text))
+
+
+def unpacked(text: str) -> list[list[str]]:
+    return [x.split(" ") if x else [] for x in text.split("\n")]
 
 
 def scan(pairs: DataFrame) -> DataFrame:
-    """One pass over the pairs: rows with a word and its sentences per batch, and rows with a pair's languages."""
+    """The one pass over the texts: rows with a word and its sentences per batch, and a row for each pair with its languages and tokens."""
     who = pairs.sparkSession.sparkContext.broadcast(Languages())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            of = who.value.of
-            df, n = sentence_counts([*pdf["extracted_text"], *pdf["translation"]])
-            yield pd.DataFrame([("", n), *df.items()], columns=["word", "n"]).assign(job_id=None, file_index=0, a=None, b=None)
-            yield pd.DataFrame({"word": None, "n": 0, "job_id": pdf["job_id"], "file_index": pdf["file_index"], "a": [of(numbered(t)) for t in pdf["extracted_text"]], "b": [of(numbered(t)) for t in pdf["translation"]]})
+            parts = [[numbered(x) for x in pdf[c]] for c in ("extracted_text", "translation")]
+            s, t = ([[tokens(x) for x in text] for text in side] for side in parts)
+            df, n = word_counts([*s, *t])
+            yield pd.DataFrame([("", n), *df.items()], columns=["word", "n"]).assign(job_id=None, file_index=0, a=None, b=None, h=0, s=None, t=None)
+            a, b = map(who.value.each, parts)
+            yield pd.DataFrame({"word": None, "n": 0, "job_id": pdf["job_id"], "file_index": pdf["file_index"], "a": a, "b": b, "h": pdf["h"], "s": [*map(packed, s)], "t": [*map(packed, t)]})
 
-    return C.cut(pairs.mapInPandas(run, "word string, n long, job_id string, file_index int, a string, b string"))
+    hashed = pairs.withColumn("h", F.xxhash64("extracted_text", "translation"))
+    return C.cut(hashed.mapInPandas(run, "word string, n long, job_id string, file_index int, a string, b string, h long, s string, t string"))
 
 
 def rarity(scanned: DataFrame) -> tuple[dict[str, int], int]:
@@ -398,45 +502,98 @@ def sample_pairs(pairs: DataFrame, scanned: DataFrame, rows: int) -> DataFrame:
     near = near.where((F.col("total") <= 3 * F.col("quota")) | (F.pmod("h", F.lit(1 << 20)) < F.greatest(F.lit(1), (F.lit(3 << 20) * F.col("quota") / F.col("total")).cast("long"))))
     order = Window.partitionBy("a", "b").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "job_id", "file_index")
     drawn = near.withColumn("no", F.row_number().over(order)).where("no <= quota").select("job_id", "file_index", "a", "b")
-    return pairs.join(F.broadcast(drawn), ["job_id", "file_index"]).select("a", "b", "extracted_text", "translation").distinct()
+    tokened = scanned.where("word is null").select("job_id", "file_index", "h", "s", "t").distinct().join(F.broadcast(drawn), ["job_id", "file_index"])
+    texts = pairs.withColumn("h", F.xxhash64("extracted_text", "translation")).join(F.broadcast(drawn.select("job_id", "file_index")), ["job_id", "file_index"], "left_semi")
+    return texts.join(tokened, ["job_id", "file_index", "h"]).select("a", "b", "extracted_text", "translation", "h", "s", "t").distinct()
 
 
 def all_pairs(pairs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(a, b, part, extracted_text, translation) of every result; a part has about ``PART_ROWS`` results of two languages, either way round."""
-    langs = scanned.where("word is null AND a <> '' AND b <> '' AND a <> b").select("job_id", "file_index", "a", "b").distinct()
-    langs = langs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
-    parts = langs.groupBy("low", "high").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
-    langs = langs.join(F.broadcast(parts), ["low", "high"]).withColumn("part", F.pmod(F.xxhash64("job_id", "file_index"), F.col("parts")).cast("int"))
-    if langs.count() <= BROADCAST_ROWS:
-        langs = F.broadcast(langs)
-    return pairs.join(langs, ["job_id", "file_index"]).select("a", "b", "part", "extracted_text", "translation")
-
-
-def fit_counts(docs: list[tuple[list[list[str]], list[list[str]]]], langs: tuple[str, str], lex: Lexicon) -> tuple[tuple, tuple]:
-    """Expected counts of word pairs of two languages, both ways, from the sentences of their pairs of texts."""
-    ties = []
-    for s, t in docs:
-        space = Space(s, t, lex, langs)
-        sim = {c: math.sqrt(v[0] * v[1]) for c in space.cells if (v := space.covers(*c))}
-        best_i: dict[int, tuple] = {}
-        best_j: dict[int, tuple] = {}
-        for (i, j), v in sim.items():
-            best_i[i], best_j[j] = max(best_i.get(i, (0, 0)), (v, -j)), max(best_j.get(j, (0, 0)), (v, -i))
-        anchors = [(i, -j) for i, (v, j) in sorted(best_i.items()) if v > 0.12 and best_j[-j][1] == -i]
-        ties += [(s[i], t[j]) for i, j in anchors]
-        for (i, j), (k, l) in zip(anchors, anchors[1:]):
-            if k - i == l - j == 2:
-                ties.append((s[i + 1], t[j + 1]))
+    """(a, b, part, h, s, t) of every result; a part has about ``PART_ROWS`` results of two languages, either way round."""
+    langs = scanned.where("word is null AND a <> '' AND b <> '' AND a <> b").withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+    parts = langs.select("low", "high", "a", "job_id", "file_index").distinct().groupBy("low", "high").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    return langs.join(F.broadcast(parts), ["low", "high"]).select("a", "b", F.pmod(F.xxhash64("job_id", "file_index"), F.col("parts")).cast("int").alias("part"), "h", "s", "t")
+
+
+def expected(i: np.ndarray, j: np.ndarray, spaces: Spaces, rounds: int = 5) -> Callable[[bool], tuple[Table, Table]]:
+    """IBM model 1 of tied sentences: for either way round the expected counts of word pairs, and of words with any word (its second numbers are -1)."""
+    s, t = spaces.s, spaces.t
+    ok = (s.n[i] > 0) & (t.n[j] > 0) & (s.size[i] <= 60) & (t.size[j] <= 60)
+    i, j = i[ok], j[ok]
+    own, no = expand(s.n[i] * t.n[j])
+    a, b = np.divmod(no, t.n[j][own])
+    src, tgt = s.word[s.first[i][own] + a], t.word[t.first[j][own] + b]
+    #: Numbers of the words of each side, without gaps.
+    names = [np.unique(x) for x in (src, tgt)]
+    place = [np.zeros(spaces.size, np.int64) for _ in names]
+    for x, y in zip(place, names):
+        x[y] = np.arange(len(y))
+    width = max(1, len(names[1]))
+    key = place[0][src] * width + place[1][tgt]
+    if len(names[0]) * width <= 16 * len(key):
+        inv = np.zeros(len(names[0]) * width, np.int64)
+        inv[key] = 1
+        pairs = np.flatnonzero(inv)
+        inv[pairs] = np.arange(len(pairs))
+        inv = inv[key]
+    else:
+        pairs, inv = np.unique(key, return_inverse=True)
+    sides = np.divmod(pairs, width)
+    #: The word of a tied sentence that its counterparts share out.
+    shared = (np.cumsum(t.n[j]) - t.n[j])[own] + b, (np.cumsum(s.n[i]) - s.n[i])[own] + a
+
+    def counts(back: bool) -> tuple[Table, Table]:
+        of, to, by, p = sides[back], sides[not back], shared[back], np.ones(len(pairs))
+        count, total = np.zeros(len(pairs)), np.zeros(len(names[back]))
+        for _ in range(rounds if len(pairs) else 0):
+            v = p[inv]
+            v = v / np.bincount(by, v)[by]
+            count = np.bincount(inv, v, len(pairs))
+            total = np.bincount(of, count, len(names[back]))
+            p = count / total[of]
+        return (names[back][of], names[not back][to], count), (names[back], np.full(len(total), -1), total)
+
+    return counts
+
+
+def likely(counts: tuple[Table, Table], size: int) -> Table:
+    """Word pairs with their probabilities, from expected counts."""
+    (w, x, n), (of, _, total) = counts
+    every = np.ones(size)
+    every[of] = total
+    ok = (n > LEAST_TIES) & (n > LEAST_P * every[w])
+    return w[ok], x[ok], n[ok] / every[w[ok]]
+
+
+def fit_counts(docs: list[tuple[list[list[str]], list[list[str]]]], lex: Lexicon) -> tuple[dict[str, int], tuple[Table, Table], tuple[Table, Table]]:
+    """The words' numbers, and the expected counts of two languages, both ways, from the sentences of their pairs of texts."""
+    spaces = Spaces(docs, lex)
+    i, j = spaces.i, spaces.j
+    cs, ct = spaces.covers(i, j)
+    sim = np.sqrt(cs * ct)
+    best = [np.zeros(len(i), bool) for _ in range(2)]
+    for out, own, other in zip(best, (i, j), (j, i)):
+        order = np.lexsort((other, -sim, own))
+        out[order[begins(own[order])]] = True
+    anchor = best[0] & best[1] & (sim > 0.12)
+    i, j = i[anchor], j[anchor]
+    gap = np.flatnonzero((np.diff(i) == 2) & (np.diff(j) == 2) & (np.diff(spaces.s.doc[i]) == 0))
+    i, j = np.append(i, i[gap] + 1), np.append(j, j[gap] + 1)
     for _ in range(2):
-        lex.by_pair[langs] = lex._table(*lex._counts(ties))
-        ties = [(s[i], t[j]) for s, t in docs for i, j, v in blocks(s, t, lex, langs) if v > 0.45]
-    return lex._counts(ties), lex._counts([(t, s) for s, t in ties])
+        spaces.match(*likely(expected(i, j, spaces)(False), spaces.size))
+        i, j, v = spaces.blocks()
+        i, j = i[v > 0.45], j[v > 0.45]
+    counts = expected(i, j, spaces)
+    return spaces.vocab, counts(False), counts(True)
 
 
 def fit_pair(docs: list[tuple[list[list[str]], list[list[str]]]], langs: tuple[str, str], lex: Lexicon) -> tuple[dict[str, dict[str, float]], dict[str, dict[str, float]]]:
     """The word tables of one pair of languages, both ways."""
-    ahead, back = fit_counts(docs, langs, lex)
-    return lex._table(*ahead), lex._table(*back)
+    vocab, *both = fit_counts(docs, lex)
+    words, out = list(vocab), ({}, {})
+    for to, counts in zip(out, both):
+        for w, x, p in zip(*likely(counts, len(words))):
+            to.setdefault(words[w], {})[words[x]] = float(p)
+    return out
 
 
 def fit(drawn: DataFrame, counts: tuple[dict[str, int], int]) -> Lexicon:
@@ -446,21 +603,21 @@ def fit(drawn: DataFrame, counts: tuple[dict[str, int], int]) -> Lexicon:
     lex.fit_idf(*counts)
     shared = spark.sparkContext.broadcast(lex)
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, _ = key
-        pdf = pdf.drop_duplicates(["a", "extracted_text", "translation"]).sort_values(["extracted_text", "translation"])
-        docs = [([tokens(x) for x in numbered(e)], [tokens(x) for x in numbered(t)], x == a) for e, t, x in zip(pdf["extracted_text"], pdf["translation"], pdf["a"])]
-        own = Lexicon()
-        own.idf, own.top = shared.value.idf, shared.value.top
-        both = fit_counts([(s, t) if ahead else (t, s) for s, t, ahead in docs if s and t], (a, b), own)
-        rows = [(*k, w, x, n) for k, (counts, _) in zip(((a, b), (b, a)), both) for (w, x), n in counts.items()]
-        rows += [(*k, w, "", n) for k, (_, totals) in zip(((a, b), (b, a)), both) for w, n in totals.items()]
-        return pd.DataFrame(rows, columns=["a", "b", "src", "tgt", "n"])
-
-    drawn = drawn.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+    def one(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b, _ = (x.as_py() for x in key)
+        pdf = rows.select(["a", "h", "s", "t"]).to_pandas().drop_duplicates(["a", "h"]).sort_values(["s", "t"])
+        docs = [(unpacked(s), unpacked(t)) if x == a else (unpacked(t), unpacked(s)) for x, s, t in zip(pdf["a"], pdf["s"], pdf["t"])]
+        vocab, *both = fit_counts(docs, shared.value)
+        words, out = pa.array([*vocab, ""], pa.string()), []
+        for (x, y), (pairs, totals) in zip(((a, b), (b, a)), both):
+            w, v, n = (np.concatenate([p[pairs[2] >= LEAST_COUNT], q]) for p, q in zip(pairs, totals))
+            out.append(pa.table({"a": pa.repeat(x, len(n)), "b": pa.repeat(y, len(n)), "src": words.take(pa.array(w)), "tgt": words.take(pa.array(np.where(v < 0, len(vocab), v))), "n": pa.array(n)}))
+        return pa.concat_tables(out)
+
+    drawn = drawn.select("a", "h", "s", "t", "part", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     tasks = drawn.select("low", "high", "part").distinct().count()
     drawn = drawn.repartition(max(8, spark.sparkContext.defaultParallelism, tasks // 2), "low", "high", "part")  # a number of our own: small groups would else share one task
-    counts = C.cut(drawn.groupBy("low", "high", "part").applyInPandas(one, "a string, b string, src string, tgt string, n double").groupBy("a", "b", "src", "tgt").agg(F.round(F.sum("n"), 6).alias("n")))
+    counts = C.cut(drawn.groupBy("low", "high", "part").applyInArrow(one, "a string, b string, src string, tgt string, n double").groupBy("a", "b", "src", "tgt").agg(F.round(F.sum("n"), 6).alias("n")))
     totals = counts.where("tgt = ''").select("a", "b", "src", F.col("n").alias("total"))
     table = counts.where((F.col("tgt") != "") & (F.col("n") > LEAST_TIES)).join(totals, ["a", "b", "src"]).where(F.col("n") > LEAST_P * F.col("total"))
     for a, b, w, x, p in table.select("a", "b", "src", "tgt", F.col("n") / F.col("total")).orderBy("a", "b", "src", "tgt").collect():
@@ -478,17 +635,21 @@ def aligned(requests: DataFrame, results: DataFrame, sample_rows: int | None = N
     pairs = both.join(keys, ["job_id", "file_index"], "left_semi")
     scanned = scan(pairs)
     drawn = all_pairs(pairs, scanned) if sample_rows is None else sample_pairs(pairs, scanned, sample_rows).withColumn("part", F.lit(0))
-    model = spark.sparkContext.broadcast((fit(drawn, rarity(scanned)), Languages()))
+    model = spark.sparkContext.broadcast(fit(drawn, rarity(scanned)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (lex, who), rows = model.value, []
-        for j, f, a, b in zip(pdf["job_id"], pdf["file_index"], pdf["extracted_text"], pdf["translation"]):
-            na, nb = numbered(a), numbered(b)
-            links = blocks([tokens(x) for x in na], [tokens(x) for x in nb], lex, (who.of(na), who.of(nb)))
-            rows += [(j, f, x + 1, y + 1, v) for x, y, v in links]
-        return pd.DataFrame(rows, columns=["job_id", "file_index", "src_no", "tgt_no", "score"])
-
-    return C.map_texts(pairs, "job_id string, file_index int, src_no int, tgt_no int, score double", run)
+        lex, out = model.value, []
+        for langs, own in pdf.groupby(["a", "b"], sort=False):
+            for _, few in own.groupby((own["s"].str.len() + own["t"].str.len()).cumsum() // AT_ONCE):
+                spaces = Spaces([(unpacked(s), unpacked(t)) for s, t in zip(few["s"], few["t"])], lex)
+                spaces.match(*lex.table(langs, spaces.vocab))
+                i, j, v = spaces.blocks()
+                d = spaces.s.doc[i]
+                out.append(pd.DataFrame({"job_id": few["job_id"].to_numpy()[d], "file_index": few["file_index"].to_numpy()[d], "src_no": i - spaces.s.begin[d] + 1, "tgt_no": j - spaces.t.begin[d] + 1, "score": v}))
+        return pd.concat(out)
+
+    texts = scanned.where("word is null").select("job_id", "file_index", "a", "b", "s", "t")
+    return C.map_texts(texts, "job_id string, file_index int, src_no int, tgt_no int, score double", run)
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -464,6 +464,61 @@ def test_lexicon_holds_the_words_of_every_requested_result(spark, monkeypatch):
     assert seen == [60]
 
 
+def test_words_are_compared_once_a_part_and_texts_read_once(spark, monkeypatch):
+    """Lexicon and links of all requests, without going through every text again for each step."""
+    text = lambda lang, n: " ".join(sentence(lang, *x) for x in triples(6, n))
+    docs = [tuple([p7.tokens(x) for x in p7.numbered(text(k, n))] for k in ("en", "de")) for n in range(40)]
+    lex, folded = p7.Lexicon(), []
+    lex.fit_idf(*p7.sentence_counts([text(k, n) for k in ("en", "de") for n in range(40)]))
+    fold = p7.fold
+    monkeypatch.setattr(p7, "fold", lambda w: folded.append(w) or fold(w))
+    ahead, _ = p7.fit_pair(docs, ("en", "de"), lex)
+    assert ahead["widow"]["witwe"] > 0.5 and len(folded) == len(set(folded))
+    rows = [("a", n, "f", {}, text("en", n), text("de", n), False) for n in range(20)] + [("a", 20, "f", {}, "…", "…", False), ("a", 21, "f", {}, "# x", "7.", False)]
+    df = p7.aligned(spark.createDataFrame([(x[0], x[1]) for x in rows], ALIGN), spark.createDataFrame(rows, schema.RESULTS))
+    assert "extracted_text" not in df._jdf.queryExecution().toString()
+    assert {x.file_index for x in df.collect()} == set(range(20))
+
+
+def test_spaces_of_many_texts_follow_the_definition(monkeypatch):
+    monkeypatch.setattr(p7, "AT_ONCE", 50)
+    rnd = random.Random(5)
+    words = ["register", "registre", "registers", "chapel", "chape", "chaper", "maison", "house", "der", "the", "1753", "42", "a-1", "naïveté", "naivete"]
+    docs = [tuple([[rnd.choice(words) for _ in range(rnd.randrange(6))] for _ in range(rnd.randrange(9))] for _ in range(2)) for _ in range(30)] + [([], [["the"]]), ([[]], [[]])]
+    lex, langs = p7.Lexicon(), ("en", "fr")
+    lex.fit_idf({"the": 90, "der": 80, "house": 5, "chapel": 2}, 400)
+    lex.by_pair[langs] = {"house": {"maison": 0.4, "chapel": 0.1, "none": 0.5}, "register": {"registre": 0.7, "register": 0.2}, "42": {"the": 0.9}}
+
+    def cognate(a, b):
+        n = len(os.path.commonprefix([a, b]))
+        return min(len(a), len(b)) >= 5 and (n >= 5 or n >= 0.7 * max(len(a), len(b)))
+
+    def strength(w, x):
+        if w == x:
+            return 1.0
+        if w[-1].isdigit():
+            return 0.0
+        p = lex.by_pair[langs].get(w, {}).get(x)
+        return min(1.0, 0.5 + p) if p else 0.8 if cognate(p7.fold(w), p7.fold(x)) else 0.0
+
+    spaces = p7.Spaces(docs, lex)
+    spaces.match(*lex.table(langs, spaces.vocab))
+    got = {(int(spaces.s.doc[i]), int(i - spaces.s.begin[spaces.s.doc[i]]), int(j - spaces.t.begin[spaces.s.doc[i]])): (v, a, b) for i, j, v, a, b in zip(spaces.i, spaces.j, spaces.v, *spaces.covers(spaces.i, spaces.j))}
+    want, total = {}, lambda ws: max(sum(map(lex.weight, set(ws))), 1e-9)
+    for d, (s, t) in enumerate(docs):
+        for (i, x), (j, y) in itertools.product(enumerate(s), enumerate(t)):
+            rows, cols = (lambda w: sum(w in z for z in s)), (lambda w: sum(w in z for z in t))  # noqa: B023
+            points = [lex.weight(w) * strength(w, u) / cols(u) for w in set(x) for u in set(y) if strength(w, u) and rows(w) * cols(u) <= p7.AMBIGUITY]
+            if points:
+                ahead = sum(lex.weight(w) * max(strength(w, u) for u in y) for w in set(x)) / total(x)
+                want[d, i, j] = sum(points), ahead, sum(lex.weight(u) * max(strength(w, u) for w in x) for u in set(y)) / total(y)
+    assert len(want) > 200 and got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k]) for k in want)
+    one = [(d, *x) for d, (s, t) in enumerate(docs) for x in p7.blocks(s, t, lex, langs)]
+    i, j, v = spaces.blocks()
+    assert [(d, a, b) for d, a, b, _ in one] == [(spaces.s.doc[x], x - spaces.s.begin[spaces.s.doc[x]], y - spaces.t.begin[spaces.s.doc[x]]) for x, y in zip(i, j)] and np.allclose([x[3] for x in one], v)
+
+
 # ---------------------------------------------------------------- 8
 
 
