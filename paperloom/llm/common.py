@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 SENT_END = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|(?<=[。！？])")
+#: The first kind of ``SENT_END`` with the sign before it; a search can skip to the signs.
+SPACED_END = re.compile(r"[.!?…][\"'»”’)\]]*\s+")
+CJK_END = re.compile(r"[。！？]")
 PARA = re.compile(r"\n[ \t\r\f\v\xa0]*\n+")
 
 
@@ -54,6 +57,8 @@ def content_lines(text: str | None) -> list[str]:
 
 def content(text: str | None) -> str:
     """A text without the workbench's own ``#`` lines."""
+    if text and "#" not in text and "\r" not in text:
+        return text
     return "\n".join(content_lines(text))
 
 
@@ -62,11 +67,22 @@ def paragraphs(text: str | None) -> list[str]:
     return [" ".join(p.split()) for p in PARA.split(content(text)) if p.strip()]
 
 
+def split_sentences(passage: str) -> list[str]:
+    """What ``SENT_END`` splits a passage into."""
+    if not passage.isascii() and CJK_END.search(passage):
+        return SENT_END.split(passage)
+    out, last = [], 0
+    for m in SPACED_END.finditer(passage):
+        out.append(passage[last : m.start() + 1])
+        last = m.end()
+    return [*out, passage[last:]]
+
+
 def sentences(text: str | None) -> list[str]:
     """Sentences over hard line ends; headings and list lines stay apart at blank lines."""
     out = []
     for p in paragraphs(text):
-        out += [s for s in SENT_END.split(p) if s]
+        out += [s for s in split_sentences(p) if s]
     return out
 
 

@@ -39,6 +39,8 @@ SHAPES = ("prose", "long_item", "item", "row", "cells", "field", "heading", "tit
 CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“„", "“": "„", "’": "‘"}
 EVENTS = re.compile(r"```|\n[ \t\r\f\v\xa0]*\n|</?[A-Za-z][\w\-]*(?:\s[^<>\n]*)?/?>|[()\[\]{}«»“”„\"]")
 VOID = frozenset("br hr img meta link input source col wbr".split())
+TWO_SIGNS = re.compile(r"[^\W_][\W_]*[^\W_]")
+#: No match is longer than eight characters.
 BROKEN = re.compile(r"(?:�|\\|\\u[0-9a-fA-F]{0,3}|&(?:[a-z]{2,6}|#\d{0,4})|[\ud800-\udfff])$")
 TERMINATED = re.compile(r"[.!?。！？:](?:[\"'»“”’)\]*_]*)$")
 ELLIPSIS = re.compile(r"(?:…|\.\.\.)[\"'»”’)]*$")
@@ -130,17 +132,18 @@ def tail_of(text: str | None) -> tuple[str, str, bool]:
     if text and (m := HEADER_TAIL.search(text)) and not HEADER.match(m.group(1)):
         return "broken", "prose", False
     tail = C.content(text).strip()
-    if len(re.sub(r"[\W_]", "", tail)) < 2:
+    if not TWO_SIGNS.search(tail):
         return done
     stack = walk(tail)
-    if BROKEN.search(tail) or re.search(r"<[^<>\s][^<>\n]*$", tail):
+    if BROKEN.search(tail[-8:]) or re.search(r"<[^<>\s][^<>\n]*$", tail):
         return "broken", "prose", False
     if tail[0] in "{[" and re.match(r'^[{\[]\s*(?:"|\{|$)', tail):
         return ("broken", "prose", False) if stack else done
     if any(x[0] in "`<" for x in stack):
         return "broken", "prose", False
     structure = "open" if stack else "closed"
-    tail = re.sub(r"(?:\s*</[A-Za-z][\w\-]*>)+$", "", tail)
+    if tail.endswith(">"):
+        tail = re.sub(r"(?:\s*</[A-Za-z][\w\-]*>)+$", "", tail)
     raw = tail.split("\n")
     lines = [x.rstrip() for x in raw if x.strip()]
     if not lines:

@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -41,13 +42,17 @@ REFUSAL_SCORE = 0.7
 #: A term counts as seen in other answers where that moves its log odds by so much.
 LEAST_ODDS = 0.02
 LEAD_IN = re.compile(r"\A\s*(?:[`\"'*_ ]*)(?:[^\n.!?]{0,60}?(?:translation|übersetzung|traduction|traducción|tradução)[^\n.!?]{0,40}?[:：])[*_]*\s*", re.I)
+SIGN = re.compile(r"[^\W_]")
 WRAP = re.compile(r"</?source_document>|^```\w*\s*$", re.M)
 
 
 def answer_text(text: str | None) -> str:
     """A response without lead-in, fences and the request's wrapping."""
-    t = WRAP.sub("", C.content(text))
-    return LEAD_IN.sub("", t)
+    t = C.content(text)
+    if "<" in t or "```" in t:
+        t = WRAP.sub("", t)
+    m = LEAD_IN.match(t)
+    return t[m.end() :] if m else t
 
 
 class LanguageBayes:
@@ -79,17 +84,19 @@ class LanguageBayes:
             self.rows[i] = self.table[[self.at.get(g, -1) for g in grams(w)]].sum(0)
         return i
 
-    def posteriors(self, passages: list[str]) -> np.ndarray:
-        """Posterior of each language for each passage, under equal priors."""
+    def posteriors(self, passages: list[str], words: list[list[str]] | None = None) -> np.ndarray:
+        """Posterior of each language for each passage, under equal priors. ``words``: the lower-case words of each, if known."""
         if len(self.words) > 150_000:
             self.words = {}
-        at, start, has = [], [], []
-        for i, s in enumerate(passages):
-            ws = C.WORD.findall(s.lower())
+        every, start, has = [], [], []
+        for i, ws in enumerate((C.WORD.findall(s.lower()) for s in passages) if words is None else words):
             if ws:
                 has.append(i)
-                start.append(len(at))
-                at += [self._word(w) for w in ws]
+                start.append(len(every))
+                every += ws
+        at = list(map(self.words.get, every))
+        if None in at:
+            at = [self._word(w) for w in every]
         out = np.full((len(passages), len(self.codes)), 1 / len(self.codes), np.float32)
         if at:
             ll = np.add.reduceat(self.rows[np.array(at)], np.array(start), axis=0)
@@ -99,17 +106,20 @@ class LanguageBayes:
 
     def shares(self, texts: list[str]) -> list[dict[str, float]]:
         """Per text the share of its letters in each language, by sentence posteriors."""
-        flat, owner, size = [], [], []
+        flat, words, owner, size = [], [], [], []
         for i, t in enumerate(texts):
             for s in whole_sentences(t):
-                n = weight(s)
+                low = s.lower()
+                ws = C.WORD.findall(low)
+                n = weight(s, ws if len(low) == len(s) else None)  # few capitals become two characters
                 if n >= 10:
                     flat.append(s)
+                    words.append(ws)
                     owner.append(i)
                     size.append(n)
         out: list[dict[str, float]] = [{} for _ in texts]
         if flat:
-            post = self.posteriors(flat)
+            post = self.posteriors(flat, words)
             total = np.bincount(owner, size, len(texts))
             per = np.zeros((len(texts), len(self.codes)))
             np.add.at(per, owner, post * np.array(size)[:, None])
@@ -118,6 +128,14 @@ class LanguageBayes:
         return out
 
 
+class Marks(dict):
+    """The mark of each token, kept once made."""
+
+    def __missing__(self, x: str) -> str:
+        self[x] = m = ("N" if len(x) > 1 else "n") if x[0] == "\n" else "9" if x[0].isdigit() else ("W" if x[0].isupper() else "w") if x[0].isalpha() else x
+        return m
+
+
 class EndModel:
     """Likelihood that a text ends after its last tokens: backed-off n-grams of token shapes.
 
@@ -129,6 +147,7 @@ class EndModel:
 
     TOKEN = re.compile(r"\n+|[^\W\d_]+|\d+|[^\w\s]|_")
     ORDER = 6
+    MARKS = Marks()
 
     def __init__(self, texts: list[str]):
         kept = [(self.shapes(t.rstrip()), 1.0) for t in texts]
@@ -141,7 +160,9 @@ class EndModel:
     @classmethod
     def shapes(cls, t: str) -> str:
         """A mark for the beginning, then one character a token."""
-        return "N" + "".join(("N" if len(x) > 1 else "n") if x[0] == "\n" else "9" if x[0].isdigit() else ("W" if x[0].isupper() else "w") if x[0].isalpha() else x for x in cls.TOKEN.findall(t))
+        if len(cls.MARKS) > 200_000:
+            cls.MARKS.clear()
+        return "N" + "".join(map(cls.MARKS.__getitem__, cls.TOKEN.findall(t)))
 
     @classmethod
     def wanted(cls, tails: dict[str, float]) -> set[str]:
@@ -157,8 +178,10 @@ class EndModel:
                 if one == share:
                     c.update(t)
                     c[""] += len(t)
-                    for n in range(2, cls.ORDER + 1):
-                        c.update([t[i : i + n] for i in range(len(t) - n + 1)])
+                    part = t
+                    for n in range(1, cls.ORDER):  # each n-gram and the character after it
+                        part = list(map(add, part, t[n:]))
+                        c.update(part)
             for g in c.keys() & (wanted | {""}):
                 out[g] += c[g] * share
         return out
@@ -245,6 +268,15 @@ def copied(source: str, answer: str) -> float:
     return sum((want & have).values()) / (len(b) - 1)
 
 
+def is_copy(source: str, answer: str, least: float) -> bool:
+    """Whether ``copied`` is ``least`` or more; most others show by the words that the source lacks."""
+    b = C.WORD.findall(answer.lower())
+    if len(b) < 3:
+        return least <= 0
+    have = set(C.WORD.findall(source.lower()))
+    return sum(map(have.__contains__, b[:-1])) / (len(b) - 1) >= least and copied(source, answer) >= least
+
+
 def read_answers(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One pass over all answers: (shape, full, one) of each, and (term, n) over their sentences.
 
@@ -256,19 +288,19 @@ def read_answers(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            terms: Counter = Counter()
+            #: Answers that stand equally often are counted together.
+            by_share: dict[float, Counter] = {}
             for t, one in zip(pdf["translation"], pdf["one"]):
-                own: Counter = Counter()
+                own = by_share.setdefault(one, Counter())
                 for s in C.sentences(t):
                     ws = set(first._terms(s))
-                    if len(ws) < 3 or sum(first.odds.get(w, 0.0) for w in ws & first.odds.keys()) / len(ws) < REFUSAL_SCORE:
+                    if len(ws) < 3 or sum(map(first.odds.__getitem__, ws & first.odds.keys())) / len(ws) < REFUSAL_SCORE:
                         own.update(ws)
                         own[""] += 1
-                if one == 1.0:
-                    terms.update(own)
-                else:
-                    for w, n in own.items():
-                        terms[w] += n * one
+            terms: dict = by_share.pop(1.0, Counter())
+            for one, own in by_share.items():
+                for w, n in own.items():
+                    terms[w] += n * one
             yield pd.DataFrame({"shape": [EndModel.shapes(answer_text(t).rstrip()) for t in pdf["translation"]], "full": [weight(t) >= 20 for t in pdf["translation"]], "one": pdf["one"], "term": None, "n": 0.0})
             yield pd.DataFrame({"shape": None, "full": False, "one": 0.0, "term": [w if isinstance(w, str) else " ".join(w) for w in terms], "n": [float(n) for n in terms.values()]})
 
@@ -312,6 +344,30 @@ def other_answers(terms: DataFrame) -> dict[str | tuple[str, str], float]:
     return {tuple(r.term.split(" ")) if " " in r.term else r.term: r.n / n for r in counts.where((F.col("term") != "") & (F.col("n") > 2 * LEAST_ODDS * RefusalBayes.ALPHA * n)).collect()}
 
 
+def pair_kinds(src: list[str], raw: list[str], ans: list[str], bayes: LanguageBayes, refusal: RefusalBayes, index: p6_residue.Index) -> tuple[list[str], dict[int, dict[str, float]]]:
+    """The kind of each pair (``none`` where nothing shows), and the languages of the answers that are neither empty nor residue.
+
+    Languages are looked up only where they decide: of those answers, and of the sources
+    whose pairs of words the answer has. ``ans`` are the ``answer_text`` of ``raw``.
+    """
+    kinds = ["empty" if not SIGN.search(t) else "residue" if index.matches(r) else "none" for r, t in zip(raw, ans)]
+    left = [i for i, k in enumerate(kinds) if k == "none"]
+    langs = dict(zip(left, bayes.shares([ans[i] for i in left])))
+    alike = []
+    for i, la in langs.items():
+        if refusal.refuses(ans[i]):
+            kinds[i] = "refusal"
+        elif is_copy(C.content(src[i]), ans[i], COPY_SHARE if la else 0.9):
+            if la:
+                alike.append(i)
+            elif weight(ans[i]) >= 10:
+                kinds[i] = "copy"
+    for i, ls in zip(alike, bayes.shares([src[i] for i in alike])):
+        if ls and max(langs[i], key=langs[i].get) == max(ls, key=ls.get):
+            kinds[i] = "copy"
+    return kinds, langs
+
+
 def checked(results: DataFrame, documents: DataFrame) -> DataFrame:
     """Per result: what its pair of texts shows, short and without the texts."""
     bayes = LanguageBayes(langdata.labelled_sample(documents))
@@ -326,21 +382,12 @@ def checked(results: DataFrame, documents: DataFrame) -> DataFrame:
             part = pdf.iloc[a : a + 500]
             src = [t or "" for t in part["extracted_text"]]
             ans = [answer_text(t) for t in part["translation"]]
-            for j, f, e, raw, t, ls, la in zip(part["job_id"], part["file_index"], src, part["translation"], ans, bayes.shares(src), bayes.shares(ans)):
-                if len(re.sub(r"[\W_]", "", t)) < 1:
-                    out.append((j, f, 0, 0, "empty", *whole, [], []))
-                    continue
-                if index.kinds(raw):
-                    out.append((j, f, 0, 0, "residue", *whole, [], []))
+            kinds, langs = pair_kinds(src, list(part["translation"]), ans, bayes, refusal, index)
+            for i, (j, f, raw, t, kind) in enumerate(zip(part["job_id"], part["file_index"], part["translation"], ans, kinds)):
+                if i not in langs:
+                    out.append((j, f, 0, 0, kind, *whole, [], []))
                     continue
-                kind = "none"
-                main = max(la, key=la.get) if la else None
-                if refusal.refuses(t):
-                    kind = "refusal"
-                elif main and ls and main == max(ls, key=ls.get) and copied(C.content(e), t) >= COPY_SHARE:
-                    kind = "copy"
-                elif not la and copied(C.content(e), t) >= 0.9 and weight(t) >= 10:
-                    kind = "copy"
+                la = langs[i]
                 structure, shape, ended = p3_truncation.tail_of(raw)
                 if structure != "broken" and shape != "closing" and ends.likelihood(t) < END_LIKELIHOOD:
                     structure = "broken"

@@ -83,7 +83,7 @@ def windows(text: str | None) -> list[list[str]]:
         lines = [x for x in p.split("\n") if x.strip()]
         if not lines:
             continue
-        whole = C.SENT_END.split(" ".join(lines))
+        whole = C.split_sentences(" ".join(lines))
         out += whole
         if len(lines) > 1:
             out += lines
@@ -145,6 +145,10 @@ class Index:
     def kinds(self, text: str | None) -> set[str]:
         return {k for w in windows(text) if (k := self.kind(w))}
 
+    def matches(self, text: str | None) -> bool:
+        """Whether a text has any residue."""
+        return any(self.kind(w) for w in windows(text))
+
 
 def text_counts(results: DataFrame) -> tuple[dict[str, int], int]:
     """In how many texts each word stands, and the number of texts; counted over all texts."""

@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -297,6 +298,44 @@ def test_copies_are_compared_in_order():
     assert p4.copied(a, a) == 1 and p4.copied(a, " ".join(sorted(a.split()))) < p4.COPY_SHARE and p4.copied(a, "") == 0
 
 
+def test_languages_are_looked_up_only_where_they_decide(monkeypatch):
+    """Sources without the answer's pairs of words and empty answers are not scored; the kinds are those of the plain definition."""
+    en, de = ([" ".join(sentence(k, *x) for x in triples(3, n)) for n in range(40)] for k in ("en", "de"))
+    src = [*en, *en[:6], "", en[0], de[0]]
+    raw = [*de, *en[:5], en[5].replace("the", "a"), en[0], " — ", "Sorry, I cannot fulfil that request."]
+    ans = [p4.answer_text(t) for t in raw]
+    bayes = p4.LanguageBayes([(k, s) for k, v in langdata.SEEDS.items() for s in C.SENT_END.split(v) if s.strip()])
+    refusal, index = p4.RefusalBayes(exemplars.REFUSALS, exemplars.ANSWERS, {}), p6.Index(exemplars.RESIDUE, {}, 0)
+    top = lambda t: max(x, key=x.get) if (x := bayes.shares([t])[0]) else None
+    want = ["empty" if not any(c.isalnum() for c in t) else "refusal" if refusal.refuses(t) else "copy" if top(t) and top(t) == top(e) and p4.copied(e, t) >= p4.COPY_SHARE else "none" for e, t in zip(src, ans)]
+    asked, shares = [], bayes.shares
+    monkeypatch.setattr(bayes, "shares", lambda texts: asked.extend(texts) or shares(texts))
+    kinds, langs = p4.pair_kinds(src, raw, ans, bayes, refusal, index)
+    assert kinds == want and {"copy", "empty", "refusal", "none"} == set(kinds)
+    assert all(langs[i] == shares([ans[i]])[0] for i in langs) and len(langs) == len(src) - 1
+    assert sorted(asked) == sorted([*(ans[i] for i in langs), *(src[i] for i in range(40, 46) if p4.copied(src[i], ans[i]) >= p4.COPY_SHARE)])
+
+
+def test_quick_ways_equal_the_definitions():
+    rnd = random.Random(7)
+    signs = ["a", "B", "é", "İ", "ß", "7", "_", " ", " ", "\n", "\n\n", ".", "...", "!", "…", "\"", "”", ")", "。", "日", "-", "¬", "\xad", "#", "# x", "\r", "&am", "</p>", "\\", "\xa0"]
+    for _ in range(4000):
+        t = "".join(rnd.choice(signs) for _ in range(rnd.randrange(14)))
+        assert C.split_sentences(t) == C.SENT_END.split(t), t
+        assert C.content(t) == "\n".join(C.content_lines(t)), t
+        low = t.lower()
+        assert len(low) != len(t) or p2.weight(t, C.WORD.findall(low)) == p2.weight(t), t
+        assert p2.LINE_HYPHEN.sub("", t) == re.sub(r"(?<=[^\W\d_])[-¬‐­]\s*\n\s*(?=[a-zß-ÿ])", "", t), t
+        assert bool(p3.BROKEN.search(t.strip()[-8:])) == bool(p3.BROKEN.search(t.strip())), t
+        assert bool(p3.TWO_SIGNS.search(t)) == (len(re.sub(r"[\W_]", "", t)) >= 2), t
+        e = " ".join(rnd.choice("abc") for _ in range(rnd.randrange(9)))
+        a = " ".join(rnd.choice("abcd") for _ in range(rnd.randrange(9)))
+        assert all(p4.is_copy(e, a, x) == (p4.copied(e, a) >= x) for x in (0.3, 0.6, 0.9)), (e, a)
+    #: Where a text and its lower case are equally long, both have the same letters.
+    for c in map(chr, range(0x110000)):
+        assert len(c.lower()) > 1 or bool(C.WORD.match(c)) == bool(C.WORD.match(c.lower())), c
+
+
 # ---------------------------------------------------------------- 5
 
 
