@@ -29,6 +29,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -68,23 +69,42 @@ EDGE = ".,;:?()[]\"'«»“”„*–—·…¿¡{}<>_/\\`"
 HYPHEN = "-¬‐­"
 PAIR = re.compile(r"([^\W\d_][^\s\-¬‐­]*)([-¬‐­])(?:[ \t\r]*(\n)\s*|[ \t]+)([^\W\d_][^\s\-]*)")
 ANY_PAIR = re.compile(r"[-¬‐­]\s")
+LETTER = re.compile(r"[^\W\d_]")
 STOP = frozenset("und oder bzw sowie and or to nor et ou y o u e ou bis als".split())
 CODE = re.compile(r"^[a-z]{1,2}\d+(?:-\d+)?$|^\d+[rv]?$|^\d(?![^\W\d_]{4})|^[ivxlcdm]+$")
 
 
+def split_pairs(text: str) -> Iterator[re.Match]:
+    """The matches of ``PAIR``, sought from the hyphens: its first piece begins with the first letter of what stands before one."""
+    done = 0
+    for h in ANY_PAIR.finditer(text):
+        end = a = h.start()
+        while a > done and not text[a - 1].isspace() and text[a - 1] not in HYPHEN:
+            a -= 1
+        if (first := LETTER.search(text, a, end)) and (m := PAIR.match(text, first.start())):
+            yield m
+            done = m.end()
+
+
 # ---------------------------------------------------------------- words
 
 
 TOKENS = re.compile(r"[^\s.,;:?()\[\]\"'«»“”„*–—·…¿¡{}<>_/\\`]+")
 
 
+CALL = re.compile(r"!+(?=\s|$)")
 #: An apostrophe inside a word after a or o stands for the dots of the letter before it.
-ACCENT = re.compile(r"(?<=[aoAO])'(?=[a-zäöüß])")
+ACCENT = re.compile(r"'(?<=[aoAO].)(?=[a-zäöüß])")
 
 
 def words(text: str) -> list[str]:
     """Lower-case words with their inner signs; punctuation and split pieces are off."""
-    return [w for w in TOKENS.findall(re.sub(r"!+(?=\s|$)", " ", ACCENT.sub("´", text.lower()))) if w[-1] not in HYPHEN]
+    low = text.lower()
+    if "'" in low:
+        low = ACCENT.sub("´", low)
+    if "!" in low:
+        low = CALL.sub(" ", low)
+    return [w for w in TOKENS.findall(low) if w[-1] not in HYPHEN]
 
 
 def is_word(w: str) -> bool:
@@ -285,11 +305,12 @@ def in_company(texts: DataFrame, fixes: DataFrame) -> DataFrame:
         known = texts.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in fixes.select("word", "sure").collect()})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sure = known.value
             for pdf in batches:
                 k, has = Counter(), Counter()
                 for t in pdf["text"]:
-                    ws = [w for w in set(words(C.content(t))) if w in known.value]
-                    open_ = [w for w in ws if not known.value[w]]
+                    ws = sure.keys() & set(words(C.content(t)))
+                    open_ = [w for w in ws if not sure[w]]
                     k.update(open_)
                     if len(open_) < len(ws) or len(ws) >= MISREAD_WORDS:
                         has.update(open_)
@@ -311,16 +332,19 @@ def in_company(texts: DataFrame, fixes: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lines
 
 
+SIGNS = re.compile(r"[\W_]+")
 ALIKE = str.maketrans("1!|0$5@+6896cq", "lllossatbbgbeg")
 TITLE_NO = re.compile(r"^\s*(\d{1,5})\s{2,}(\S.*?)\s*$|^\s*(\S.*?)\s{2,}(\d{1,5})\s*$")
 
 
+@lru_cache(4096)
 def title_key(line: str) -> str:
     """Letters of a line, with letters that scanning confuses made equal."""
-    s = re.sub(r"[\W_]+", "", line.lower().translate(ALIKE).replace("ii", "u").replace("ü", "u"))
-    return re.sub(r"[il]", "l", s.replace("rn", "m").replace("ri", "n").replace("cl", "d").replace("h", "b"))
+    s = SIGNS.sub("", line.lower().translate(ALIKE).replace("ii", "u").replace("ü", "u"))
+    return s.replace("rn", "m").replace("ri", "n").replace("cl", "d").replace("h", "b").replace("i", "l")
 
 
+@lru_cache(4096)
 def beside(line: str) -> tuple[str, int | None, int]:
     """(title part, number beside it, width of the gap)."""
     m = TITLE_NO.match(line)
@@ -385,15 +409,21 @@ class Lines:
         Near keys differ in few places, so they share one of the pieces that a key falls
         into, at the same number; an index of the pieces finds them, whatever the number of keys.
         """
-        pieces: dict[tuple[int, str], list[str]] = {}
         of: dict[str, list[tuple[int, str]]] = {}
         for k in self.keys:
             if len(k) >= 8:
                 n = max(2, len(k) // 6) + 1
                 size = len(k) // n
                 of[k] = [(i, k[i * size : (i + 1) * size]) for i in range(n)]
-                for p in of[k]:
-                    pieces.setdefault(p, []).append(k)
+        every = [p for ps in of.values() for p in ps]
+        if len(set(every)) == len(every):
+            return
+        #: Pieces of one key alone lead to no other.
+        pieces: dict[tuple[int, str], list[str]] = {p: [] for p, c in Counter(every).items() if c > 1}
+        of = {k: own for k, ps in of.items() if (own := [p for p in ps if p in pieces])}
+        for k, ps in of.items():
+            for p in ps:
+                pieces[p].append(k)
         for k in sorted(of, key=lambda k: (len(self.keys[k]), k)):
             near = {o for p in of[k] for o in pieces[p] if o != k and o in self.keys and abs(len(o) - len(k)) <= 1 and len(self.keys[o]) >= len(self.keys[k])}
             for o in sorted(near, key=lambda o: (-len(self.keys[o]), o)):
@@ -572,7 +602,7 @@ class PageModels:
 
     def joins(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Per text: (start, end, joined word) of the words that are to be joined."""
-        ms = [(k, m) for k, t in enumerate(texts) if ANY_PAIR.search(t) for m in PAIR.finditer(t) if m.group(4)[0].islower() or m.group(1)[-1:].isupper()]
+        ms = [(k, m) for k, t in enumerate(texts) for m in split_pairs(t) if m.group(4)[0].islower() or m.group(1)[-1:].isupper()]
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if ms:
             p = self.join.score(np.array([self.join_features(m.group(1).split("'")[-1], m.group(2), bool(m.group(3)), m.group(4)) for _, m in ms], float))
@@ -617,7 +647,7 @@ def defects(texts: list[str], models: PageModels, fixes: dict[str, str] | None)
         if js:
             found_.add("hyphenation")
         ws = words(joined(body, js) + ("\n" + "\n".join(ls.lines[ls.at[n]] for n in kind) if kind else ""))
-        if fixes is not None and sum(w in fixes for w in ws) >= MISREAD_WORDS:
+        if fixes is not None and sum(map(fixes.__contains__, ws)) >= MISREAD_WORDS:
             found_.add("misread")
         out.append((found_, ws))
     return out

@@ -21,6 +21,7 @@ two of them; a source with few texts leans on ``PRIOR``; an empty table gives no
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,17 +66,35 @@ HEADER_TAIL = re.compile(r"(?:^|\n)(##[^\n]*)\s*\Z")
 CLOSING = re.compile(r"(?:^|[\n.!?]\s*)(?:" + "|".join(re.escape(c) for c in CLOSINGS) + r"),?(?:\s+[A-ZÀ-Þ][\w.'\-]*){0,4}\s*$", re.I)
 
 
+class Letters(dict):
+    """For ``str.translate``: capitals become ``U``, other letters ``l``, all else goes."""
+
+    def __missing__(self, c: int) -> str | None:
+        self[c] = m = ("U" if chr(c).isupper() else "l") if chr(c).isalpha() else None
+        return m
+
+
+LETTERS = Letters()
+SPACED_TITLE = re.compile(r"(?:[^\W_]\s){4,}")
+NUMBER_BEHIND = re.compile(r"\s{2,}\d{1,5}$")
+NUMBER_BEFORE = re.compile(r"\d{1,5}\s{2,}\S")
+
+
+@lru_cache(4096)
 def is_title(line: str) -> bool:
-    """Lines in the form of a running title: starred, spaced out or in capitals."""
+    """Lines in the form of a running title: starred, spaced out or in capitals.
+
+    The last lines are kept, since a page's text and its regions hold the same ones.
+    """
     s = line.strip()
     if not s or len(s) > 80:
         return False
     if s.startswith("**") and s.endswith("**"):
         return True
-    letters = [c for c in s if c.isalpha()]
-    if len(letters) >= 6 and sum(c.isupper() for c in letters) >= 0.75 * len(letters):
+    letters = s.translate(LETTERS)
+    if len(letters) >= 6 and letters.count("U") >= 0.75 * len(letters):
         return True
-    return bool(re.match(r"^(?:[^\W_]\s){4,}", s)) or bool(re.search(r"\s{2,}\d{1,5}$", line)) or bool(re.match(r"^\d{1,5}\s{2,}\S", line))
+    return bool(SPACED_TITLE.match(s)) or ((line[-1].isdecimal() or line[-1] == "\n") and bool(NUMBER_BEHIND.search(line))) or bool(NUMBER_BEFORE.match(line))
 
 
 def walk(text: str) -> list[str]:

@@ -170,6 +170,51 @@ def test_repeated_misreading_is_found_at_any_size(spark, monkeypatch, times, bou
     assert fixes["wintcr"] == "winter" and fixes["bridqe"] == "bridge" and "well" not in fixes
 
 
+def test_facts_of_lines_are_found_once_and_as_defined():
+    """A page's text and its regions hold the same lines; quick ways give what the definitions give."""
+    page = "\n".join([*(f"{sentence('en', *x)[:-1]}" for x in triples(40, 1)), "REGISTER OF HASKVAL", "REG1STER OF HASKVAL", "12   Register of Haskval"])
+    p1.title_key.cache_clear()
+    p3.is_title.cache_clear()
+    a, b = p1.Lines(page), p1.Lines("### REGION 1\n" + page)
+    assert a.keys == b.keys and [a.possible(n) for n in range(len(a.at))] == [b.possible(n) for n in range(len(b.at))]
+    assert p1.title_key.cache_info().misses == len({p1.beside(x)[0] for x in a.lines}) and p3.is_title.cache_info().misses <= len(set(a.lines))
+    rnd = random.Random(3)
+    signs = ["A", "B", "é", "É", "ß", "ﬁ", "ii", "rn", "h", "7", "1", "_", " ", "  ", "\n", "!", "'", "ä", "o", "-", "-", "¬", "\xad", "\t", "\xa0", "**", "٣"]
+
+    def title(line):
+        s = line.strip()
+        up = [c for c in s if c.isalpha()]
+        if not s or len(s) > 80:
+            return False
+        return (s.startswith("**") and s.endswith("**")) or (len(up) >= 6 and sum(c.isupper() for c in up) >= 0.75 * len(up)) or any(re.search(r, x) for r, x in ((r"^(?:[^\W_]\s){4,}", s), (r"\s{2,}\d{1,5}$", line), (r"^\d{1,5}\s{2,}\S", line)))
+
+    for _ in range(6000):
+        t = "".join(rnd.choice(signs) for _ in range(rnd.randrange(16)))
+        assert p3.is_title(t) == bool(title(t)), t
+        assert [m.groups() for m in p1.split_pairs(t)] == [m.groups() for m in p1.PAIR.finditer(t)], t
+        assert p1.words(t) == [w for w in p1.TOKENS.findall(re.sub(r"!+(?=\s|$)", " ", re.sub(r"(?<=[aoAO])'(?=[a-zäöüß])", "´", t.lower()))) if w[-1] not in p1.HYPHEN], t
+        k = re.sub(r"[\W_]+", "", t.lower().translate(p1.ALIKE).replace("ii", "u").replace("ü", "u"))
+        assert p1.title_key(t) == re.sub(r"[il]", "l", k.replace("rn", "m").replace("ri", "n").replace("cl", "d").replace("h", "b")), t
+
+
+def test_near_title_keys_against_all_pairs():
+    """The index of pieces leaves no near key out that shares a piece at the same number."""
+    rnd = random.Random(5)
+    for _ in range(200):
+        stems = ["".join(rnd.choice("abd") for _ in range(rnd.randint(8, 20))) for _ in range(4)]
+        keys = {s[:i] + rnd.choice("abd") + s[i + 1 :]: None for s in stems for i in rnd.sample(range(len(s)), 3)}
+        got, want = p1.Lines(""), {k: [n] * rnd.randint(1, 3) for n, k in enumerate(keys)}
+        got.keys = {k: list(v) for k, v in want.items()}
+        got._merge_near_keys()
+        parts = lambda k: {(i, k[i * (len(k) // m) : (i + 1) * (len(k) // m)]) for m in [max(2, len(k) // 6) + 1] for i in range(m)}
+        for k in sorted(keys, key=lambda k: (len(want[k]), k)):
+            near = [o for o in want if o != k and abs(len(o) - len(k)) <= 1 and len(want[o]) >= len(want[k]) and parts(o) & parts(k) and sum(a != b for a, b in zip(o, k)) <= max(2, len(k) // 6)]
+            if near:
+                o = min(near, key=lambda o: (-len(want[o]), o))
+                want[o] = sorted(want[o] + want.pop(k))
+        assert got.keys == want
+
+
 def test_spelled_hyphens_stay(spark):
     vocab = p1.Counter({w: 50 for w in ("known", "well-known", "ein", "und", "register", "council", "winter", "garden")})
     m = p1.PageModels(["The council signed the register in the winter of the year. " * 3], vocab)
